@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import media, packing, sharding, token_counts
+from . import decontaminate, media, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_sharding": sharding.query,
     "op3_packing": packing.query,
+    "op4_toxicity": toxicity.query,
     "op8_media": media.query,
+    "op9_decontaminate": decontaminate.query,
 }
 
 ORACLES: dict[str, str] = {}
