@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, sharding, token_counts, toxicity
+from . import decontaminate, lm, media, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_sharding": sharding.query,
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
+    "op5_lm_scores": lm.query,
     "op8_media": media.query,
     "op9_decontaminate": decontaminate.query,
 }

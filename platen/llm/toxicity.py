@@ -248,7 +248,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             predicted = [int(s >= 0.5) for s in score]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, evidence_type)], names=["doc_id", "score", "predicted", "evidence"])
 
-    return counts.mapInArrow(run, SCHEMA).select("doc_id", (~is_train()).alias("held_out"), "score", "predicted", "evidence")
+    return counts.mapInArrow(run, SCHEMA).select("doc_id", F.coalesce(~is_train(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
