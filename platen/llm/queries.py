@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, media, packing, sharding, token_counts, toxicity
+from . import decontaminate, jaccard, lm, media, packing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm_scores": lm.query,
     "op8_media": media.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_jaccard_join": jaccard.query,
 }
 
 ORACLES: dict[str, str] = {}
