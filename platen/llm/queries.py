@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lm, media, packing, sharding, token_counts, toxicity
+from . import decontaminate, jaccard, lines, lm, media, packing, pii, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
     "op5_lm_scores": lm.query,
+    "op6_line_dedup": lines.query,
+    "op7_pii": pii.query,
     "op8_media": media.query,
     "op9_decontaminate": decontaminate.query,
     "op10_jaccard_join": jaccard.query,
