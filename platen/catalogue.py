@@ -1,4 +1,4 @@
-"""Every query by name, with its SQL."""
+"""Every query by name, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -9,3 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "event_sessions"
+
+
+class Tables:
+    """The tables of a folder as attributes; only those that a query names are read."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its own name."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from platen.plans import access, events  # noqa: E402, F401
