@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,8 +163,6 @@ def zero_failure_bound(n: Column) -> Column:
 
 def upper_bound_95(k: Column, n: Column) -> Column:
     """Clopper-Pearson for any k: Arrow UDF, bisection of the binomial tail."""
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def bound(k: pd.Series, n: pd.Series) -> pd.Series:
         def tail(p: float, k: int, n: int) -> float:
