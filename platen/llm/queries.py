@@ -17,4 +17,19 @@ QUERIES = {
     "op10_jaccard_join": jaccard.query,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other operators rest on a tokenizer, a trained model or edit distances.
+ORACLES: dict[str, str] = {
+    "op10_jaccard_join": r"""
+with recursive t as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), g as (
+    select doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from t where len(w) > 0)
+), d as (select distinct doc_id, s from g),
+n as (select doc_id, count(*) as n from d group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from d a join d b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_ >= 75 * (x.n + y.n - both_)),
+r as (select doc_id, doc_id as other from t union select r.doc_id, l.b from r join l on l.a = r.other)
+select t.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.other) as component_id from t join r on r.doc_id = t.doc_id left join n on n.doc_id = t.doc_id group by 1
+""",
+}
