@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return add
 
 
-from platen.plans import access, events, lines, numbers, records, shapes  # noqa: E402, F401
+from platen.plans import access, events, groups, lines, numbers, records, shapes  # noqa: E402, F401
