@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platen.session import ship
+
+#: Shuffle files of a finished write go at once.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _roots: dict[str, str] = {}
 
 
@@ -18,7 +22,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: rows hold whole texts, so memory is bounded by rows x length."""
+    """Small Arrow batches: rows hold whole texts, so memory is bounded by rows x length. And the package on every executor."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
@@ -62,7 +67,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._platen_path = path
     return out
