@@ -10,9 +10,10 @@ Sets are distinct five-word shingles; texts link at a Jaccard similarity of 0.75
    shares l shingles within the first n - ceil(0.75 n) + l of this order. Each text picks the l
    (up to 8) of least estimated cost: list entries read, and candidates left to verify. Two texts
    are compared by the smaller l: only pairs with that many common prefix shingles are verified.
-3. Of the texts at a shingle the first is the leader. Each text is verified against the leader
-   with which it shares most, which already joins nearly all large groups. Then only pairs of
-   texts in different components are generated, so a group of copies never yields all its pairs.
+3. At each shingle one text, drawn by a hash, is the leader. Each text is verified against the
+   leader with which it shares most; a few turns with other leaders join nearly all of any large
+   group. Then only pairs of texts in different components are generated, so a group of copies
+   never yields all its pairs.
 4. Verification intersects the sets exactly; components come from star rounds.
 
 Shingles are known by 64-bit hashes within a text, and by 40 bits and their part between texts.
@@ -43,6 +44,8 @@ BLOCK_SHINGLES = 2_000_000
 PART_SHINGLES = 2_000_000
 #: Verifying a pair costs as much as reading so many list entries.
 VERIFY_COST = 40.0
+#: Turns of leaders at most; they end sooner when a turn finds a tenth of what the turn before found.
+STAR_TURNS = 6
 #: Row ids: block number, then the row's place in its block.
 ROW_BITS = 21
 
@@ -210,11 +213,11 @@ def choose_prefix(n: int, tokens: np.ndarray) -> tuple[int, int]:
     return best[1:]
 
 
-PREFIX = "token long, rid long, n long, matches int, level int"
+PREFIX = "token long, rid long, n long, matches int, place int"
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """A row for each shared token in a text's prefix. level: the least number of matches for which the prefix reaches the token."""
+    """A row for each shared token in a text's prefix, with the token's place in the text's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,8 +227,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
                 matches, size = choose_prefix(n, tokens)
                 if size:
                     place = np.arange(size) + (n - len(tokens))
-                    level = np.maximum(1, place - (n - required(n)) + 1)
-                    for part, x in zip(parts, (tokens[:size].view(np.int64), np.full(size, rid), np.full(size, n), np.full(size, matches), level), strict=True):
+                    for part, x in zip(parts, (tokens[:size].view(np.int64), np.full(size, rid), np.full(size, n), np.full(size, matches), place), strict=True):
                         part.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[x.split()[0] for x in PREFIX.split(", ")])
 
@@ -248,30 +250,56 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _sizes_fit(a: str, b: str):
-    return (F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)).alias("fit")
+_SIDE = ("rid", "n", "matches", "place", "component")
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """u, v, times, of texts in different components that share enough of the prefix their sizes ask for.
+
+    Texts of nu and nv shingles must share q = ceil(0.75 (nu + nv) / 1.75), so with l matches
+    asked for, l of the first nu - q + l and nv - q + l shingles; for texts of like size that
+    is a shorter prefix than either needs for the smallest partner it may have.
+    """
+    q = F.ceil(F.lit(PERCENT) * (F.col("n_u") + F.col("n_v")) / (100 + PERCENT))
+    need = F.least("matches_u", "matches_v")
+    both = a.select("token", *[F.col(c).alias(f"{c}_u") for c in _SIDE]).join(b.select("token", *[F.col(c).alias(f"{c}_v") for c in _SIDE]), "token")
+    both = both.where("component_u != component_v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
+    both = both.where((F.col("place_u") < F.col("n_u") - q + need) & (F.col("place_v") < F.col("n_v") - q + need))
+    pairs = both.groupBy(F.col("rid_u").alias("u"), F.col("rid_v").alias("v")).agg(F.count("*").alias("times"), F.min(need).alias("need"))
+    return pairs.where("times >= need").select("u", "v", "times")
+
+
+def _placed(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix rows of tokens that lie in several components, with their text's component."""
+    rows = prefix.drop("component")
+    if labels is None:
+        rows = rows.withColumn("component", F.col("rid"))
+    else:
+        rows = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "matches", "place", F.coalesce("component", "rid").alias("component"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    return common.kept(rows.join(mixed, "token"), "jaccard-placed")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Links (u, v) between class representatives: enough of them to join exactly the texts that links join."""
-    prefix = common.kept(prefixes(sets), "jaccard-prefixes")
-    leaders = prefix.groupBy("token").agg(F.min(F.struct("rid", "n")).alias("leader"), F.count("*").alias("lists")).where("lists > 1")
-    met = prefix.join(leaders, "token").where("rid != leader.rid").where(_sizes_fit("n", "leader.n"))
-    shared = met.groupBy(F.col("rid").alias("u"), F.col("leader.rid").alias("v")).agg(F.count("*").alias("times"))
-    best = shared.groupBy("u").agg(F.max(F.struct("times", -F.col("v"))).alias("x")).select("u", (-F.col("x.col2")).alias("v"))
-    near = common.kept(verified(best, sets), "jaccard-links")
-    labels = components(near)
-    placed = prefix.join(labels, prefix.rid == labels.node, "left").select("token", "rid", "n", "matches", "level", F.coalesce("component", "rid").alias("component"))
-    placed = common.kept(placed, "jaccard-placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = placed.join(mixed, "token")
-    a = open_.select("token", *[F.col(c).alias(f"{c}_u") for c in ("rid", "n", "matches", "level", "component")])
-    b = open_.select("token", *[F.col(c).alias(f"{c}_v") for c in ("rid", "n", "matches", "level", "component")])
-    need = F.least("matches_u", "matches_v")
-    pairs = a.join(b, "token").where("component_u < component_v").where(_sizes_fit("n_u", "n_v")).where((F.col("level_u") <= need) & (F.col("level_v") <= need))
-    asked = pairs.groupBy(F.col("rid_u").alias("u"), F.col("rid_v").alias("v")).agg(F.count("*").alias("times"), F.min(need).alias("need")).where("times >= need").select("u", "v")
-    far = common.kept(verified(asked, sets), "jaccard-links")
-    return near.union(far)
+    placed = _placed(common.kept(prefixes(sets), "jaccard-prefixes"), None)
+    edges, asked_before = None, None
+    for turn in range(STAR_TURNS):
+        drawn = F.struct(F.xxhash64("rid", F.lit(turn)).alias("draw"), *_SIDE)
+        leaders = placed.groupBy("token").agg(F.min(drawn).alias("x")).select("token", *[F.col(f"x.{c}").alias(c) for c in _SIDE])
+        best = _met(placed, leaders).groupBy("u").agg(F.max(F.struct("times", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+        near = common.kept(verified(best, sets), "jaccard-links")
+        found = near.count()
+        if not found:
+            break
+        edges = near if edges is None else edges.union(near)
+        before, placed = placed, _placed(placed, components(edges))
+        common.drop_kept(before)
+        if asked_before is not None and 10 * found < asked_before:
+            break
+        asked_before = found
+    far = common.kept(verified(_met(placed, placed.alias("other")).where("u < v").select("u", "v"), sets), "jaccard-links")
+    return far if edges is None else edges.union(far)
 
 
 def joined(docs: DataFrame) -> DataFrame:
