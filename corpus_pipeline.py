@@ -57,4 +57,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = common.kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return common.kept(STAGES[-1][1](spark, docs, sf_dir), "packed")
+    return STAGES[-1][1](spark, docs, sf_dir)
