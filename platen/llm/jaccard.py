@@ -11,8 +11,8 @@ Sets are distinct five-word shingles; texts link at a Jaccard similarity of 0.75
    (up to 8) of least estimated cost: list entries read, and candidates left to verify. Two texts
    are compared by the smaller l: only pairs with that many common prefix shingles are verified.
 3. At each shingle one text, drawn by a hash, is the leader. Each text is verified against the
-   leader with which it shares most; a few turns with other leaders join nearly all of any large
-   group. Then only pairs of texts in different components are generated, so a group of copies
+   leaders with which it shares most; turns with other leaders go on while they join texts and
+   many pairs are left, so nearly all of any large group is joined. Then only pairs of texts in different components are generated, so a group of copies
    never yields all its pairs.
 4. Verification intersects the sets exactly; components come from star rounds.
 
@@ -44,8 +44,8 @@ BLOCK_SHINGLES = 2_000_000
 PART_SHINGLES = 2_000_000
 #: Verifying a pair costs as much as reading so many list entries.
 VERIFY_COST = 40.0
-#: Turns of leaders at most; they end sooner when a turn finds a tenth of what the turn before found.
-STAR_TURNS = 6
+#: Turns of leaders at most, and leaders that a text is verified against in a turn. Turns end sooner: when the pairs left are no more than the prefix rows, or when a turn finds a fiftieth of the best turn's links. Any number gives the same components.
+STAR_TURNS, LEADERS = 8, 4
 #: Row ids: block number, then the row's place in its block.
 ROW_BITS = 21
 
@@ -280,25 +280,39 @@ def _placed(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
     return common.kept(rows.join(mixed, "token"), "jaccard-placed")
 
 
+def _open_pairs(placed: DataFrame) -> tuple[int, int]:
+    """Prefix rows, and pairs of rows of a token in different components: what generating all of them would cost at most."""
+    each = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
+    token = each.groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+    found = token.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0.0)).alias("pairs")).first()
+    return int(found.rows), int(found.pairs)
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Links (u, v) between class representatives: enough of them to join exactly the texts that links join."""
-    placed = _placed(common.kept(prefixes(sets), "jaccard-prefixes"), None)
-    edges, asked_before = None, None
+    prefix = common.kept(prefixes(sets), "jaccard-prefixes")
+    placed = _placed(prefix, None)
+    common.drop_kept(prefix)
+    edges, most = None, 0
     for turn in range(STAR_TURNS):
+        rows, pairs = _open_pairs(placed)
+        if pairs <= rows:
+            break
         drawn = F.struct(F.xxhash64("rid", F.lit(turn)).alias("draw"), *_SIDE)
         leaders = placed.groupBy("token").agg(F.min(drawn).alias("x")).select("token", *[F.col(f"x.{c}").alias(c) for c in _SIDE])
-        best = _met(placed, leaders).groupBy("u").agg(F.max(F.struct("times", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
-        near = common.kept(verified(best, sets), "jaccard-links")
+        near_to = _met(placed, leaders).groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "v")), False), 1, LEADERS).alias("x"))
+        near = common.kept(verified(near_to.select("u", F.explode("x").alias("x")).select("u", F.col("x.v").alias("v")), sets), "jaccard-links")
         found = near.count()
+        most = max(most, found)
         if not found:
             break
         edges = near if edges is None else edges.union(near)
         before, placed = placed, _placed(placed, components(edges))
         common.drop_kept(before)
-        if asked_before is not None and 10 * found < asked_before:
+        if 50 * found < most:
             break
-        asked_before = found
     far = common.kept(verified(_met(placed, placed.alias("other")).where("u < v").select("u", "v"), sets), "jaccard-links")
+    common.drop_kept(placed)
     return far if edges is None else edges.union(far)
 
 
@@ -317,6 +331,7 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = sets.select("rid", "doc_id", "n", "first")
     placed = rows.join(labels, rows["first"] == labels.node, "left").select("doc_id", "n", F.coalesce("component", "first").alias("component"))
     placed = common.kept(placed, "jaccard-rows")
+    common.drop_kept(sets)
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
