@@ -214,6 +214,22 @@ def test_lines(spark, empty):
     assert lines.without_repeats(empty).count() == 0
 
 
+def _jaccard_of(a, b):
+    x, y = ({s[i : i + 5] for i in range(max(1, len(s) - 4))} for s in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_lines_verified_by_shingles_alone(spark):
+    pairs = [
+        ("- https://www.example.com/news/article-1", "- https://www.example.com/news/article-2"),
+        ("Wissenschaftsgeschichte Forschungseinrichtung", "Wissenschaftsgeschichten Forschungseinrichtungen"),
+        ("=" * 24, "=" * 60),
+        ("the same words in this line of text", "text of line this in words same the"),
+    ]
+    got = [r.s for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", lines.similar("a", "b").alias("s")).orderBy("i").collect()]
+    assert got == [_jaccard_of(*p) >= 0.75 for p in pairs] == [True, True, True, False]
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)]
