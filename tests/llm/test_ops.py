@@ -230,6 +230,23 @@ def test_lines_verified_by_shingles_alone(spark):
     assert got == [_jaccard_of(*p) >= 0.75 for p in pairs] == [True, True, True, False]
 
 
+def test_lines_meet_at_any_length_and_on_both_sides_of_the_old_switch(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    pairs = []
+    for _ in range(300):
+        x = " ".join(word(rng.randint(3, 8)) for _ in range(40))
+        pairs.append((x, x[: math.ceil(0.78 * len(x))]))
+    pairs += [(x := " ".join(word(23) for _ in range(6)), x.replace(" ", "", 3)) for _ in range(50)]
+    pairs = [p for p in pairs if _jaccard_of(*p) >= 0.75]
+    rows = [(i, s, k) for i, p in enumerate(pairs) for s, k in zip("ab", p, strict=True)]
+    own = spark.createDataFrame([(i, s, k) for i, s, k in rows], "i int, side string, line string").withColumn("id", F.xxhash64("line"))
+    signed = {r.id: set(r.bands) for r in lines.signatures(own).collect()}
+    id_of = {(r.i, r.side): r.id for r in own.collect()}
+    met = sum(bool(signed[id_of[i, "a"]] & signed[id_of[i, "b"]]) for i in range(len(pairs)))
+    assert len(pairs) > 300 and met >= 0.96 * len(pairs)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)]
