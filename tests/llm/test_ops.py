@@ -247,6 +247,25 @@ def test_lines_meet_at_any_length_and_on_both_sides_of_the_old_switch(spark):
     assert len(pairs) > 300 and met >= 0.96 * len(pairs)
 
 
+@pytest.mark.parametrize("large", [64, 8])
+def test_lines_of_one_bucket_are_all_joined(spark, monkeypatch, large):
+    """One bucket with many pairs that only their two lines link, and a chain; the rest is a template."""
+    monkeypatch.setattr(lines, "LARGE", large)
+    rng = random.Random(9)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    base = [f"Archived copy: https://example.org/{hexes(40)} see also identifier-{hexes(32)}" for _ in range(30)]
+    texts = base + [x[:-1] + "z" for x in base] + [base[0][:-1] + "zyx"]
+    own = spark.createDataFrame([(x,) for x in texts], "line string").withColumn("id", F.xxhash64("line"))
+    members = own.select(F.lit(1).cast("long").alias("band"), "id")
+    label = {r.node: r.component for r in components.components(lines.links(members, own)).collect()}
+    ids = {r.line: r.id for r in own.collect()}
+    want = {frozenset(y for y in texts if _jaccard_of(x, y) >= 0.75) for x in texts}
+    groups = collections.defaultdict(set)
+    for x in texts:
+        groups[label.get(ids[x], x)].add(x)
+    assert len(want) == 30 and {frozenset(g) for g in groups.values()} == want
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)]
