@@ -21,7 +21,7 @@ def lines_paired(t: Tables) -> DataFrame:
 @query()
 def panels_voted(t: Tables) -> DataFrame:
     """A conversation is a group, a role a panel, a word a line."""
-    words = t.conversations.select("conv_id", F.col("role").alias("panel"), F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("pos", "line"))
+    words = t.conversations.select("conv_id", F.col("role").alias("panel"), F.posexplode(F.split("text", " ")).alias("pos", "line"))
     return alignment.voted(words, ["conv_id"])
 
 

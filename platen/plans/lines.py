@@ -152,17 +152,18 @@ def page_host_and_email(t: Tables) -> DataFrame:
 @query()
 def text_keys_unicode(t: Tables) -> DataFrame:
     ship(t.spark)
-    x = F.substring("text", 1, 200)
+    x = F.col("text")
     return t.documents.select("doc_id", text.key(x).alias("key"), text.pair_key(x).alias("pair_key"), text.diff_key(x).alias("diff_key"), text.ocr_key(x).alias("ocr_key"))
 
 
 @query()
 def line_char_diff(t: Tables) -> DataFrame:
-    """Steps between each document's first two lines."""
+    """Steps between each line of a document and the next one; an only line is set against an empty one."""
     ship(t.spark)
     parts = F.split("text", "\n")
-    d = t.documents.select("doc_id", F.get(parts, F.lit(0)).alias("a"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("b"))
-    return d.select("doc_id", text.word_diff("a", "b").alias("steps"), text.match_ratio("a", "b").alias("ratio"), text.run_ratio("a", "b").alias("run"))
+    d = t.documents.select("doc_id", parts.alias("parts"), F.posexplode(F.slice(parts, 1, F.greatest(F.lit(1), F.size(parts) - 1))).alias("pos", "a"))
+    d = d.select("doc_id", "pos", "a", F.coalesce(F.get("parts", F.col("pos") + 1), F.lit("")).alias("b"))
+    return d.select("doc_id", "pos", text.word_diff("a", "b").alias("steps"), text.match_ratio("a", "b").alias("ratio"), text.run_ratio("a", "b").alias("run"))
 
 
 @query()
