@@ -12,7 +12,7 @@ from platen.operators import alignment, findings
 @query()
 def lines_paired(t: Tables) -> DataFrame:
     """Each document's lines against those of the next document."""
-    lines = t.documents.where("n_chars < 5000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"), F.size(F.split("text", "\n")).alias("n"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"), F.size(F.split("text", "\n")).alias("n"))
     key = F.upper(F.regexp_replace("line", r"[^\p{L}\p{N}]+", ""))
     out = lines.select(F.floor(F.col("doc_id") / 2).alias("job"), F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("side"), F.col("i").cast("long").alias("i"), key.alias("key"), (F.col("i") / F.col("n")).alias("y"))
     return alignment.paired_lines(out, ["job"])

@@ -20,3 +20,13 @@ def test_every_word_of_a_turn_votes(spark):
     talk = spark.createDataFrame(rows, "conv_id long, role string, text string")
     got = [(r.panel, r.found, r.reference) for r in groups.panels_voted(SimpleNamespace(spark=spark, conversations=talk)).collect()]
     assert got == [("system", "elephantz", "elephants")]
+
+
+def test_long_documents_are_paired(spark):
+    word = "abcdefghij"
+    long = [f"{word * 60}{k}" for k in range(10)]
+    rows = [(2, "\n".join(long), 6009), (3, "\n".join(reversed(long)), 6009), (4, "one\ntwo", None), (5, "\n".join([*long, "one"]), 6013)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {(r.job, r.a, r.b): r.how for r in groups.lines_paired(SimpleNamespace(spark=spark, documents=docs)).collect()}
+    assert all(got[1, k, 9 - k] == "key" for k in range(10)) and got[2, 0, 10] == "key"
+    assert {b for j, _, b in got if j == 2 and b is not None} == set(range(11))
