@@ -1,7 +1,10 @@
 """Queries read whole texts, all documents and all rounds."""
 
+import random
 from types import SimpleNamespace
 
+import numpy as np
+
 from platen.plans import groups, lines
 
 
@@ -30,3 +33,19 @@ def test_long_documents_are_paired(spark):
     got = {(r.job, r.a, r.b): r.how for r in groups.lines_paired(SimpleNamespace(spark=spark, documents=docs)).collect()}
     assert all(got[1, k, 9 - k] == "key" for k in range(10)) and got[2, 0, 10] == "key"
     assert {b for j, _, b in got if j == 2 and b is not None} == set(range(11))
+
+
+def test_supplier_fit_has_four_rounds(spark):
+    rng = random.Random(5)
+    rows = [(k, float(x), 3.0 * x + k + rng.uniform(-2, 2) + rng.choice([0] * 6 + [40, 900])) for k in range(4) for x in range(40)]
+    got = groups.supplier_price_robust_fit(SimpleNamespace(spark=spark, lineitem=spark.createDataFrame(rows, "l_suppkey int, l_quantity double, l_extendedprice double"))).collect()
+    assert len(got) == 4
+    for r in got:
+        x, y = np.array([(x, y) for k, x, y in rows if k == r.l_suppkey]).T
+        for turn in range(4):
+            m, c = np.polyfit(x, y, 1)
+            if turn < 3:
+                off = np.abs(y - m * x - c)
+                keep = off <= max(1, 4 * np.median(off))
+                x, y = x[keep], y[keep]
+        assert abs(r.slope - m) < 1e-5 and abs(r.intercept - c) < 1e-3 and r.n == len(x) < 40
