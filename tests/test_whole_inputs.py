@@ -49,3 +49,23 @@ def test_supplier_fit_has_four_rounds(spark):
                 keep = off <= max(1, 4 * np.median(off))
                 x, y = x[keep], y[keep]
         assert abs(r.slope - m) < 1e-5 and abs(r.intercept - c) < 1e-3 and r.n == len(x) < 40
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_of_all_document_lines(spark):
+    rng = random.Random(6)
+    line = lambda: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(2, 6))) for _ in range(14))
+    docs = [(d, "\n".join(line() for _ in range(3))) for d in range(12)]
+    items = [(k, "x" + docs[k][1].split("\n")[1][3:] + "q") for k in range(5)] + [(9, line())]
+    t = SimpleNamespace(spark=spark, documents=spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, source string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    key = lambda x: "".join(c for c in x if c.isalnum()).upper()
+    want = {(i, *min((_distance(key(x), key(y)), d, p) for d, z in docs for p, y in enumerate(z.split("\n")))) for i, x in items}
+    assert {(r.item_id, r.distance, r.doc_id, r.pos) for r in lines.benchmark_nearest_document_line(t).collect()} == want
