@@ -7,7 +7,11 @@
    examples by cosine are exact: blocks are scored in the order of their bound until no bound
    reaches the last neighbour kept; equal cosines go by the example's place.
 4. Neighbours vote by closeness; isotonic regression over the sample, each example without
-   itself, turns votes into probabilities. A text without any term gets the rate of such examples.
+   itself, turns votes into probabilities.
+5. A text without any chosen term is searched exactly among the sample's full vectors: all terms
+   that the sample has, document frequencies over all rows. Its votes have their own isotonic
+   fit, over the examples without a chosen term. Without a neighbour it gets the rate of those.
+   Its evidence is given where one of the nearest three is toxic.
 
 Defined cases: null or empty text has no terms and gets that rate; null labels and labels of
 unknown documents are ignored; without training labels every score is 0; of several labels of a
@@ -84,14 +88,14 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
 
 
 def term_counts(docs: DataFrame, chosen: list[str]) -> DataFrame:
-    """doc_id, ids array<int>, tfs array<int>, over all rows."""
+    """doc_id, ids array<int>, tfs array<int>, text (only of texts without a chosen term), over all rows."""
     place = {w: i for i, w in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = {w for w in place if not w.endswith("*")}
         long = {w[:-1] for w in place if w.endswith("*") and len(w) == 6}
         for b in batches:
-            ids, tfs = [], []
+            ids, tfs, bare = [], [], []
             for text in b.column(1).to_pylist():
                 words = _words(text.lower())
                 c = Counter(filter(short.__contains__, words))
@@ -101,9 +105,10 @@ def term_counts(docs: DataFrame, chosen: list[str]) -> DataFrame:
                 found = sorted((place[w], n) for w, n in c.items())
                 ids.append([i for i, _ in found])
                 tfs.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["doc_id", "ids", "tfs"])
+                bare.append(None if found else text)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(bare, pa.string())], names=["doc_id", "ids", "tfs", "text"])
 
-    return docs.select("doc_id", common.whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>")
+    return docs.select("doc_id", common.whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>, text string")
 
 
 class BlockMax:
@@ -158,6 +163,126 @@ class BlockMax:
         return (sum(w * float(self.labels[at] > 0) for w, (_, at) in zip(weights, near, strict=True)) + 0.05 * prior) / (sum(weights) + 0.05)
 
 
+class Hashes(dict):
+    """64-bit hashes of terms, each made once."""
+
+    def __missing__(self, term: str) -> int:
+        import xxhash
+
+        if len(self) >= 1_000_000:
+            self.clear()
+        n = self[term] = xxhash.xxh3_64_intdigest(term)
+        return n
+
+
+def counted(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all of a text's terms."""
+    c = Counter(terms(text))
+    return np.fromiter(map(hashes.__getitem__, c), np.uint64, len(c)), np.fromiter(c.values(), np.int64, len(c))
+
+
+class Full:
+    """Unit TF-IDF vectors of the sample over all its terms, as columns."""
+
+    vote = BlockMax.vote
+
+    def __init__(self, names: list[int], labels: list[int], hashes: list[np.ndarray], counts: list[np.ndarray], chosen: list[str]):
+        self.names, self.labels = np.array(names, np.int64), np.array(labels, np.int8)
+        h, c = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashes, np.uint64), (counts, np.int32)))
+        self.rows = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in hashes])
+        self.vocabulary = np.unique(h)
+        self.cols = np.searchsorted(self.vocabulary, h).astype(np.int32)
+        self.weights = 1 + np.log(c)
+        known, made = np.zeros(len(names), bool), Hashes()
+        known[self.rows[np.isin(h, np.array([made[w] for w in chosen], np.uint64))]] = True
+        self.bare = np.flatnonzero(~known)
+
+    def weigh(self, idf: np.ndarray) -> None:
+        self.idf = idf
+        w = self.weights * idf[self.cols]
+        norms = np.sqrt(np.bincount(self.rows, w * w, minlength=len(self.names)))
+        w /= np.maximum(norms, 1e-300)[self.rows]
+        order = np.argsort(self.cols, kind="stable")
+        self.starts = np.searchsorted(self.cols[order], np.arange(len(idf) + 1))
+        self.rows, self.weights = self.rows[order], w[order]
+        del self.cols
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the known hashes, and which are known."""
+        if not len(self.vocabulary):
+            return np.empty(0, np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        ok = self.vocabulary[at] == hashes
+        return at[ok], ok
+
+    def nearest(self, hashes: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k examples of greatest positive cosine, as BlockMax has them."""
+        at, ok = self.places(hashes)
+        w = (1 + np.log(counts[ok])) * self.idf[at]
+        norm = np.sqrt((w * w).sum())
+        if not norm:
+            return []
+        sums = np.zeros(len(self.names))
+        for t, x in zip(at.tolist(), (w / norm).tolist(), strict=True):
+            i, j = self.starts[t], self.starts[t + 1]
+            sums[self.rows[i:j]] += x * self.weights[i:j]
+        if without >= 0:
+            sums[without] = 0
+        sums = np.round(sums, 9)
+        found = np.flatnonzero(sums > 0)
+        best = found[np.lexsort((found, -sums[found]))[:k]]
+        return [(float(sums[x]), int(x)) for x in best]
+
+
+def full_index(docs: DataFrame, sample: DataFrame, chosen: list[str], n: int) -> tuple[Full, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The index, and the term counts of its examples without a chosen term, by place. The driver holds all terms of the sample's texts as arrays."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            found = [counted(text, hashes) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["doc_id", "toxic", "h", "c"])
+
+    own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", common.whole_text().alias("text")).dropDuplicates(["doc_id"])
+    rows = own.mapInArrow(features, "doc_id long, toxic int, h binary, c binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    held = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int32)) for r in rows]
+    full = Full([r.doc_id for r in rows], [r.toxic for r in rows], [h for h, _ in held], [c for _, c in held], chosen)
+    held = {int(at): (held[at][0].copy(), held[at][1].copy()) for at in full.bare}
+    del rows
+    vocabulary = docs.sparkSession.sparkContext.broadcast(full.vocabulary)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, place = vocabulary.value, {}
+        times = np.zeros(len(v) + 1, np.int64)
+        hashes = Hashes()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = set(terms(text))
+                at = []
+                for w in found:
+                    k = place.get(w)
+                    if k is None:
+                        x = np.uint64(hashes[w])
+                        k = int(np.searchsorted(v, x))
+                        k = k if k < len(v) and v[k] == x else len(v)
+                        if len(place) < 1_000_000:
+                            place[w] = k
+                    at.append(k)
+                times[at] += 1
+        some = np.flatnonzero(times[:-1])
+        for k in range(0, len(some), 50_000):
+            part = some[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(times[part], pa.int64())], names=["t", "times"])
+
+    df = np.zeros(len(full.vocabulary))
+    if len(df):
+        for r in docs.select(common.whole_text().alias("text")).mapInArrow(frequencies, "t long, times long").groupBy("t").agg(F.sum("times").alias("times")).toLocalIterator():
+            df[r.t] = r.times
+    full.weigh(np.where(df > 0, np.log((n + 1) / np.maximum(df, 1)), 0.0))
+    return full, held
+
+
 def isotonic(x: list[float], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the steps of the best non-decreasing fit, slightly drawn to the middle so that no step is 0 or 1."""
     blocks: list[list[float]] = []
@@ -177,8 +302,8 @@ def isotonic(x: list[float], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], bare: tuple[int, int]):
-        """examples: (doc_id, term ids, counts, label) of those with a term; bare: clean and toxic examples without any."""
+    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], bare: tuple[int, int], full: Full, held: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """full, held: the index over all terms, and its examples' counts; examples: (doc_id, term ids, counts, label) of those with a term; bare: clean and toxic examples without any."""
         self.idf = idf
         made = [(self.vector(i, c), y, d) for d, i, c, y in examples]
         made = [m for m in made if m[0]]
@@ -189,12 +314,22 @@ class Model:
         self.bare = bare[1] / sum(bare) if sum(bare) else self.prior
         votes = [self.index.vote(self.index.nearest(v, NEIGHBOURS, at), self.prior) for at, v in enumerate(self.index.vectors)]
         self.steps, self.levels = isotonic(votes, [int(y > 0) for y in self.index.labels]) if votes else (np.array([0.0]), np.array([self.bare]))
+        self.full = full
+        votes = [full.vote(full.nearest(*held[int(at)], NEIGHBOURS, int(at)), self.prior) for at in full.bare]
+        self.full_steps, self.full_levels = isotonic(votes, [int(y > 0) for y in full.labels[full.bare]]) if votes else (np.array([0.0]), np.array([self.bare]))
 
     def vector(self, ids: list[int], counts: list[int]) -> dict[int, float]:
         w = {i: (1 + np.log(c)) * self.idf[i] for i, c in zip(ids, counts, strict=True) if self.idf[i] > 0}
         norm = sum(x * x for x in w.values()) ** 0.5
         return {i: float(x / norm) for i, x in w.items()} if norm else {}
 
+    def score_full(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        near = self.full.nearest(hashes, counts, NEIGHBOURS)
+        if not near:
+            return self.bare, []
+        at = np.searchsorted(self.full_steps, round(self.full.vote(near, self.prior), 6), side="right") - 1
+        return float(self.full_levels[max(0, at)]), near
+
     def score(self, ids: list[int], counts: list[int]) -> tuple[float, list[tuple[float, int]]]:
         v = self.vector(ids, counts)
         near = self.index.nearest(v, NEIGHBOURS) if v else []
@@ -219,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     known = counts.join(F.broadcast(sample), "doc_id")
     examples = known.where(F.size("ids") > 0).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(SAMPLE).collect()
     bare = {r.y: r.n for r in known.where(F.size("ids") == 0).groupBy((F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    return Model(idf, [(r.doc_id, r.ids, r.tfs, r.toxic) for r in examples], (bare.get(False, 0), bare.get(True, 0))), counts
+    return Model(idf, [(r.doc_id, r.ids, r.tfs, r.toxic) for r in examples], (bare.get(False, 0), bare.get(True, 0)), *full_index(docs, sample, chosen, n)), counts
 
 
 SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
@@ -231,11 +366,17 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, {}
+        m, seen, hashes = shared.value, {}, Hashes()
         evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             score, evidence = [], []
-            for ids, tfs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for ids, tfs, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if text is not None:
+                    s, near = m.score_full(*counted(text, hashes))
+                    score.append(s)
+                    toxic = any(m.full.labels[at] > 0 for _, at in near[:3])
+                    evidence.append([{"doc_id": int(m.full.names[at]), "cosine": c, "toxic": int(m.full.labels[at])} for c, at in near[:3]] if toxic else [])
+                    continue
                 key = (*ids, *tfs)
                 if key not in seen:
                     if len(seen) >= 100_000:

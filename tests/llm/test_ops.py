@@ -174,6 +174,19 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.scores(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_a_copy_without_chosen_terms_finds_its_example(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    labels = [(i, int(i % 6 == 0)) for i in range(60)]
+    train = [i for i, y in labels if y and zlib.crc32(str(i).encode()) % 5]
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5 == 0)
+    docs = spark.createDataFrame([*enumerate(texts), (held, texts[train[0]])], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    best = got[held].evidence[0]
+    assert len(got) == 61 and got[held].held_out and (best.doc_id, best.toxic) == (train[0], 1) and abs(best.cosine - 1) < 1e-6
+
+
 def test_lm(spark, docs, empty):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     got = lm.scores(docs, train).collect()
