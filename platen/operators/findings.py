@@ -68,8 +68,11 @@ def assist(findings: DataFrame, reviews: DataFrame, extra: DataFrame) -> DataFra
 
 
 def judged(severity: Column, review: Column, confidence: Column, hard: Column, weak: Column) -> Column:
-    """Noise is dismissed unless evidence is hard; real needs 0.80; weak kinds are yellow at most; what no review mentions is yellow."""
-    return F.when((review == "noise") & ~hard, "dismissed").when(review.isNull() & (severity == "red"), "yellow").when((review == "real") & ((confidence < 0.80) | weak), "yellow").when(weak & (severity == "red"), "yellow").otherwise(severity)
+    """The reviewer decides. Noise is dismissed, but yellow against hard evidence; real is red if confident (0.80) and of no weak kind, else yellow; anything else said is yellow. Of what no review mentions red becomes yellow and the rest doesn't count (algo_only)."""
+    noise = F.when(hard, "yellow").otherwise("dismissed")
+    real = F.when((confidence >= 0.80) & ~weak, "red").otherwise("yellow")
+    unsaid = F.when(severity == "red", "yellow").otherwise("algo_only")
+    return F.when(review.isNull(), unsaid).when(review == "noise", noise).when(review == "real", real).otherwise("yellow")
 
 
 def pair_merge(severity: Column, in_pair: Column, agreed: Column) -> Column:
@@ -82,13 +85,18 @@ def new_cases(found: DataFrame, independent: DataFrame) -> DataFrame:
     return found.unionByName(independent.join(found.select("zone", "key"), ["zone", "key"], "left_anti"))
 
 
-def evidence(states: Column, tiles_same: Column) -> Column:
-    """As an aggregate: any DIFF is DIFF, all SAME with the whole line SAME is SAME, else UNVERIFIABLE."""
-    return F.when(F.bool_or(states == "DIFF"), "DIFF").when(F.bool_and(states == "SAME") & F.bool_and(tiles_same), "SAME").otherwise("UNVERIFIABLE")
+def evidence(states: Column, tiles: Column, order: Column) -> Column:
+    """As an aggregate over a finding's checks: any DIFF is DIFF; unless all are SAME, UNVERIFIABLE. Then the tiles of the whole line decide: the first in order that isn't SAME, a missing one being UNVERIFIABLE. No check at all is UNVERIFIABLE."""
+    tile = F.coalesce(tiles, F.lit("UNVERIFIABLE"))
+    first = F.min_by(tile, F.when(tile != "SAME", order))
+    return F.when(F.bool_or(states == "DIFF"), "DIFF").when(~F.coalesce(F.bool_and(F.coalesce(states, F.lit("")) == "SAME"), F.lit(False)), "UNVERIFIABLE").when(first.isNull(), "SAME").when(first == "DIFF", "DIFF").otherwise("UNVERIFIABLE")
 
 
-def pixel_verdict(pass_rate: Column, peak: Column, tolerance: float = 6.0, fail: float = 88.0, warn: float = 97.0) -> Column:
-    return F.when((pass_rate < fail) | (peak > 6 * tolerance), "FAIL").when((pass_rate < warn) | (peak > 2 * tolerance), "WARN").otherwise("PASS")
+def pixel_verdict(pass_rate: Column, peak: Column, defects: Column, tolerance: float = 6.0, fail: float = 88.0, warn: float = 97.0, critical_px: int = 500, big_px: int = 2000) -> Column:
+    """defects: array of structs with severity and area_px. A critical one of 500 pixels or any of 2000 fails, as do a low pass rate and a high peak; any defect warns."""
+    found = F.coalesce(defects, F.array())
+    large = F.exists(found, lambda d: ((d["severity"] == "critical") & (d["area_px"] >= critical_px)) | (d["area_px"] >= big_px))
+    return F.when(large | (pass_rate < fail) | (peak > 6 * tolerance), "FAIL").when((F.size(found) > 0) | (pass_rate < warn) | (peak > 2 * tolerance), "WARN").otherwise("PASS")
 
 
 def appearance(weight: Column, size: Column, colour: Column) -> Column:

@@ -41,12 +41,6 @@ def boxes_suppressed(t: Tables) -> DataFrame:
     return alignment.suppressed(_boxes(t).drop("side"), ["l_orderkey"])
 
 
-@query()
-def requests_packed(t: Tables) -> DataFrame:
-    items = t.orders.select("o_custkey", F.col("o_orderkey").cast("long").alias("i"), F.col("o_totalprice").cast("long").alias("bytes"))
-    return alignment.packed_requests(items, ["o_custkey"], 300_000, 4)
-
-
 @query()
 def clicks_rate_limited(t: Tables) -> DataFrame:
     clicks = t.events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
@@ -82,7 +76,7 @@ def review_state(t: Tables) -> DataFrame:
     return findings.review_state(log, log.select("job", "id").distinct(), keep=4)
 
 
-@query("select o_orderkey, case when o_orderpriority = '3-MEDIUM' and o_orderstatus <> 'F' then 'dismissed' when o_orderpriority = '5-LOW' and o_orderstatus = 'O' then 'yellow' when o_orderpriority = '1-URGENT' and (o_totalprice < 100000 or o_orderstatus = 'P') then 'yellow' when o_orderstatus = 'P' then 'yellow' else case o_orderstatus when 'F' then 'green' else 'red' end end as severity from orders")
+@query("select o_orderkey, case when o_orderpriority = '3-MEDIUM' then case when o_orderstatus = 'F' then 'yellow' else 'dismissed' end when o_orderpriority = '5-LOW' then case when o_orderstatus = 'F' then 'algo_only' else 'yellow' end when o_orderpriority = '1-URGENT' and o_totalprice >= 100000 and o_orderstatus <> 'P' then 'red' else 'yellow' end as severity from orders")
 def judged_findings(t: Tables) -> DataFrame:
     """Urgent is judged real, medium noise, low unmentioned; partial orders are weak, finished ones hard and green."""
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")

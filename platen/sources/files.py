@@ -23,8 +23,10 @@ def newest(records: DataFrame, limit: int) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An append log; lines that aren't objects of the schema are dropped. line_no orders a file's lines."""
-    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
-    return rows.where(F.trim("value").startswith("{")).withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"})).where("row is not null").select("file", "line_no", "row.*")
+    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"))
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    read = rows.where(F.trim("value").startswith("{")).select("file", "line_no", parsed.alias("row"))
+    return read.where(F.col("row").isNotNull() & F.col(f"row.{CORRUPT}").isNull()).select("file", "line_no", "row.*").drop(CORRUPT)
 
 
 def read_record(records: DataFrame, rec_id: str) -> DataFrame:

@@ -18,7 +18,7 @@ def test_json_documents_and_lines(spark, tmp_path):
     assert files.read_record(spark.createDataFrame([("20240101-000000",)], "rec_id string"), "20240101-000000").count() == 1
     with pytest.raises(ValueError):
         files.read_record(spark.range(1), "../x")
-    (tmp_path / "log.jsonl").write_text('{"by": "a"}\n[1]\nnonsense\n{"by": "b"}\n')
+    (tmp_path / "log.jsonl").write_text('{"by": "a"}\n[1]\nnonsense\n{"by": broken\n{"by": "b"}\n')
     assert [r.by for r in files.json_lines(spark, f"{tmp_path}/log.jsonl", "by string").orderBy("line_no").collect()] == ["a", "b"]
 
 
