@@ -10,10 +10,13 @@ Sets are distinct five-word shingles; texts link at a Jaccard similarity of 0.75
    shares l shingles within the first n - ceil(0.75 n) + l of this order. Each text picks the l
    (up to 8) of least estimated cost: list entries read, and candidates left to verify. Two texts
    are compared by the smaller l: only pairs with that many common prefix shingles are verified.
-3. At each shingle one text, drawn by a hash, is the leader. Each text is verified against the
-   leaders with which it shares most; turns with other leaders go on while they join texts and
-   many pairs are left, so nearly all of any large group is joined. Then only pairs of texts in different components are generated, so a group of copies
-   never yields all its pairs.
+   All such bounds hold at once, so pairs come from the shortest prefixes (l = 1) alone, where
+   frequent shingles are fewest, and are counted over the longer ones before any set is intersected.
+3. At each shingle one text is the leader: first the one with fewest rare shingles, the middle of
+   a group of copies, in later turns one drawn by a hash. Each text is verified against the
+   leaders with which it shares most; turns go on while they join texts and many pairs are
+   left, so nearly all of any large group is joined. Then only pairs of texts in different
+   components are generated, so a group of copies never yields all its pairs.
 4. Verification intersects the sets exactly; components come from star rounds.
 
 Shingles are known by 64-bit hashes within a text, and by 40 bits and their part between texts.
@@ -44,8 +47,10 @@ BLOCK_SHINGLES = 2_000_000
 PART_SHINGLES = 2_000_000
 #: Verifying a pair costs as much as reading so many list entries.
 VERIFY_COST = 40.0
-#: Turns of leaders at most, and leaders that a text is verified against in a turn. Turns end sooner: when the pairs left are no more than the prefix rows, or when a turn finds a fiftieth of the best turn's links. Any number gives the same components.
-STAR_TURNS, LEADERS = 8, 4
+#: Turns of leaders at most, leaders that a text is verified against in a turn, and open pairs a row below which turns end. They also end when a turn finds a fiftieth of the best turn's links. Any numbers give the same components.
+STAR_TURNS, LEADERS, FEW = 8, 4, 16
+#: Shingles of fewer than 2^RARE texts don't count towards the middle of a group.
+RARE = 5
 #: Row ids: block number, then the row's place in its block.
 ROW_BITS = 21
 
@@ -213,76 +218,107 @@ def choose_prefix(n: int, tokens: np.ndarray) -> tuple[int, int]:
     return best[1:]
 
 
-PREFIX = "token long, rid long, n long, matches int, place int"
+PREFIX = "token long, rid long, n long, matches int, place int, first int"
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """A row for each shared token in a text's prefix, with the token's place in the text's order."""
+    """A row for each shared token in a text's prefix, with the token's place in the text's order, and first: how many of the text's shingles fewer than 2^RARE texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+            parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
             for rid, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = np.frombuffer(data, np.uint64)
                 matches, size = choose_prefix(n, tokens)
                 if size:
                     place = np.arange(size) + (n - len(tokens))
-                    for part, x in zip(parts, (tokens[:size].view(np.int64), np.full(size, rid), np.full(size, n), np.full(size, matches), place), strict=True):
+                    # Shingles that another text may have but hardly any does come before those of a group.
+                    rare = int(np.searchsorted(tokens >> np.uint64(58), np.uint64(RARE))) + n - len(tokens)
+                    for part, x in zip(parts, (tokens[:size].view(np.int64), np.full(size, rid), np.full(size, n), np.full(size, matches), place, np.full(size, rare)), strict=True):
                         part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[x.split()[0] for x in PREFIX.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=[x.split()[0] for x in PREFIX.split(", ")])
 
     return sets.where("tokens is not null and octet_length(tokens) > 0").select("rid", "n", "tokens").mapInArrow(run, PREFIX)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs u, v the linked ones."""
+    """Of pairs u, v, need the linked ones. A pair without need common shingles in its prefixes isn't intersected."""
     one = sets.where("tokens is not null").select(F.col("rid").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     two = one.withColumnsRenamed({"u": "v", "nu": "nv", "tu": "tv"})
 
+    def linked(nu: int, nv: int, tu: bytes, tv: bytes, need: int) -> bool:
+        x, y = np.frombuffer(tu, np.uint64), np.frombuffer(tv, np.uint64)
+        q = -(-PERCENT * (nu + nv) // (100 + PERCENT))
+        first = [t[: max(0, len(t) - q + need)] for t in (x, y)]
+        if len(np.intersect1d(*first)) < need:
+            return False
+        both = len(np.intersect1d(x, y))
+        return 100 * both >= PERCENT * (nu + nv - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for nu, nv, tu, tv in zip(*(b.column(c).to_pylist() for c in ("nu", "nv", "tu", "tv")), strict=True):
-                common_ = len(np.intersect1d(np.frombuffer(tu, np.uint64), np.frombuffer(tv, np.uint64)))
-                keep.append(100 * common_ >= PERCENT * (nu + nv - common_))
+            keep = [linked(*r) for r in zip(*(b.column(c).to_pylist() for c in ("nu", "nv", "tu", "tv", "need")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "tu", "tv").mapInArrow(run, "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "tu", "tv", "need").mapInArrow(run, "u long, v long")
 
 
 _SIDE = ("rid", "n", "matches", "place", "component")
 
 
-def _met(a: DataFrame, b: DataFrame) -> DataFrame:
-    """u, v, times, of texts in different components that share enough of the prefix their sizes ask for.
+def _shared(n: str, other: str):
+    """Shingles that linked sets of these sizes share at least."""
+    return F.ceil(F.lit(PERCENT) * (F.col(n) + F.col(other)) / (100 + PERCENT))
+
+
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a and b (suffixes _u, _v) that share a token, of texts in different components whose sizes may link."""
+    both = a.select("token", *[F.col(c).alias(f"{c}_u") for c in _SIDE]).join(b.select("token", *[F.col(c).alias(f"{c}_v") for c in _SIDE]), "token")
+    return both.where("component_u != component_v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
+
+
+def _near(placed: DataFrame, leaders: DataFrame) -> DataFrame:
+    """u, v, need: each text and the leaders with which it shares most of its prefix.
 
     Texts of nu and nv shingles must share q = ceil(0.75 (nu + nv) / 1.75), so with l matches
     asked for, l of the first nu - q + l and nv - q + l shingles; for texts of like size that
     is a shorter prefix than either needs for the smallest partner it may have.
     """
-    q = F.ceil(F.lit(PERCENT) * (F.col("n_u") + F.col("n_v")) / (100 + PERCENT))
     need = F.least("matches_u", "matches_v")
-    both = a.select("token", *[F.col(c).alias(f"{c}_u") for c in _SIDE]).join(b.select("token", *[F.col(c).alias(f"{c}_v") for c in _SIDE]), "token")
-    both = both.where("component_u != component_v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
-    both = both.where((F.col("place_u") < F.col("n_u") - q + need) & (F.col("place_v") < F.col("n_v") - q + need))
-    pairs = both.groupBy(F.col("rid_u").alias("u"), F.col("rid_v").alias("v")).agg(F.count("*").alias("times"), F.min(need).alias("need"))
-    return pairs.where("times >= need").select("u", "v", "times")
+    both = _sides(placed, leaders)
+    both = both.where((F.col("place_u") < F.col("n_u") - _shared("n_u", "n_v") + need) & (F.col("place_v") < F.col("n_v") - _shared("n_u", "n_v") + need))
+    pairs = both.groupBy(F.col("rid_u").alias("u"), F.col("rid_v").alias("v")).agg(F.count("*").alias("times"), F.min(need).alias("need")).where("times >= need")
+    most = pairs.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "v", "need")), False), 1, LEADERS).alias("x"))
+    return most.select("u", F.explode("x").alias("x")).select("u", "x.v", "x.need")
+
+
+def _left(probes: DataFrame) -> DataFrame:
+    """u, v, need: all pairs in different components that may link. Besides l of the first n - q + l shingles a linked pair shares one of the first n - q + 1; only those generate pairs."""
+    both = _sides(probes, probes.alias("other")).where("rid_u < rid_v")
+    both = both.where((F.col("place_u") <= F.col("n_u") - _shared("n_u", "n_v")) & (F.col("place_v") <= F.col("n_v") - _shared("n_u", "n_v")))
+    return both.select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"), F.least("matches_u", "matches_v").alias("need")).distinct()
 
 
 def _placed(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Prefix rows of tokens that lie in several components, with their text's component."""
-    rows = prefix.drop("component")
+    """Prefix rows of tokens that lie in several components, with their text's component, its first place, and whether they may be the first that a pair shares (probe), as a kept table. Places are compared with what the smallest holder of a token asks for; no other partner asks for a longer prefix."""
+    rows = prefix.select("token", "rid", "n", "matches", "place", "first")
     if labels is None:
         rows = rows.withColumn("component", F.col("rid"))
     else:
-        rows = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "matches", "place", F.coalesce("component", "rid").alias("component"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    return common.kept(rows.join(mixed, "token"), "jaccard-placed")
-
-
-def _open_pairs(placed: DataFrame) -> tuple[int, int]:
-    """Prefix rows, and pairs of rows of a token in different components: what generating all of them would cost at most."""
-    each = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
+        rows = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "matches", "place", "first", F.coalesce("component", "rid").alias("component"))
+        rows = common.kept(rows, "jaccard-labelled")
+    lists = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
+    mixed = common.kept(lists.where("low < high").select("token", "least"), "jaccard-mixed")
+    late = F.col("place") - F.col("n") + F.ceil(F.lit(PERCENT) * (F.col("n") + F.greatest("least", F.ceil(F.lit(PERCENT) * F.col("n") / 100))) / (100 + PERCENT))
+    placed = rows.join(mixed, "token").withColumn("late", late).where("late < matches").withColumn("probe", F.col("late") <= 0)
+    out = common.kept(placed.drop("least", "late"), "jaccard-placed")
+    common.drop_kept(mixed, *([rows] if labels is not None else []))
+    return out
+
+
+def _open_pairs(probes: DataFrame) -> tuple[int, int]:
+    """Probe rows, and pairs of rows of a token in different components: what generating all of them would cost at most."""
+    each = probes.groupBy("token", "component").agg(F.count("*").alias("c"))
     token = each.groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
     found = token.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0.0)).alias("pairs")).first()
     return int(found.rows), int(found.pairs)
@@ -295,13 +331,16 @@ def links(sets: DataFrame) -> DataFrame:
     common.drop_kept(prefix)
     edges, most = None, 0
     for turn in range(STAR_TURNS):
-        rows, pairs = _open_pairs(placed)
-        if pairs <= rows:
+        rows, pairs = _open_pairs(placed.where("probe"))
+        if pairs <= FEW * rows:
             break
-        drawn = F.struct(F.xxhash64("rid", F.lit(turn)).alias("draw"), *_SIDE)
+        # The text with the fewest shingles that are rare stands nearest to the middle of a group; later turns draw by hash.
+        draw = F.col("first") if turn == 0 else F.lit(0)
+        drawn = F.struct(draw.alias("near"), F.xxhash64("rid", F.lit(turn)).alias("draw"), *_SIDE)
         leaders = placed.groupBy("token").agg(F.min(drawn).alias("x")).select("token", *[F.col(f"x.{c}").alias(c) for c in _SIDE])
-        near_to = _met(placed, leaders).groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "v")), False), 1, LEADERS).alias("x"))
-        near = common.kept(verified(near_to.select("u", F.explode("x").alias("x")).select("u", F.col("x.v").alias("v")), sets), "jaccard-links")
+        leaders = common.kept(leaders, "jaccard-leaders")
+        near = common.kept(verified(_near(placed, leaders), sets), "jaccard-links")
+        common.drop_kept(leaders)
         found = near.count()
         most = max(most, found)
         if not found:
@@ -311,7 +350,7 @@ def links(sets: DataFrame) -> DataFrame:
         common.drop_kept(before)
         if 50 * found < most:
             break
-    far = common.kept(verified(_met(placed, placed.alias("other")).where("u < v").select("u", "v"), sets), "jaccard-links")
+    far = common.kept(verified(_left(placed.where("probe")), sets), "jaccard-links")
     common.drop_kept(placed)
     return far if edges is None else edges.union(far)
 
