@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled training rows that are used at most, the first by a hash; it bounds what the driver holds and broadcasts.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Terms at most, and what a term must show: rows, chi-square, and its rate in toxic rows over that in the others.
 TERMS, LEAST_ROWS, LEAST_CHI, LEAST_LIFT = 2048, 8, 40.0, 8.0
 NEIGHBOURS = 15
