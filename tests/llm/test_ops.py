@@ -322,7 +322,7 @@ def test_lines_of_one_bucket_are_all_joined(spark, monkeypatch, large):
     own = own.select("id", "line")
     members = own.select(F.lit(1).cast("long").alias("band"), "id")
     marks = lines.marks_of(common.union(lines.signatures(own)), members)
-    label = {r.node: r.component for r in components.components(lines.links(members, own, marks)).collect()}
+    label = {r.node: r.component for r in components.components(lines.links(members, lines.texts_of(members, own), marks)).collect()}
     ids = {r.line: r.id for r in own.collect()}
     want = {frozenset(y for y in texts if _jaccard_of(x, y) >= 0.75) for x in texts}
     groups = collections.defaultdict(set)
