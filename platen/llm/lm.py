@@ -165,7 +165,17 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray], deleted: list[bool
         if not deleted[k]:
             main += add
     cut = [at[where[k] : where[k + 1]] for k in range(len(keys))]
-    return [total[c].astype(np.uint32) for c in cut], [main[c].astype(np.uint32) for c in cut], (int(total.sum()), int((total > 0).sum()), int(main.sum()), int((main > 0).sum()))
+    return [_narrow(total[c]) for c in cut], [_narrow(main[c]) for c in cut], (int(total.sum()), int((total > 0).sum()), int(main.sum()), int((main > 0).sum()))
+
+
+def _narrow(sums: np.ndarray) -> np.ndarray:
+    """32 bits a sum where all fit, else 64: readers tell them apart by the number of keys."""
+    return sums.astype(np.uint32) if not len(sums) or sums.max() < 1 << 32 else sums.astype(np.uint64)
+
+
+def _widened(answers: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The sums of parts one behind the other. sizes: keys of each part."""
+    return np.concatenate([np.empty(0, np.int64), *(np.frombuffer(a, np.uint32 if len(a) == 4 * n else np.uint64).astype(np.int64) for a, n in zip(answers, sizes, strict=True))])
 
 
 def _add_part(table: pa.Table) -> pa.Table:
@@ -187,8 +197,10 @@ def _answered(x: _Block, answers: list[dict], words: str, pairs: str) -> tuple[n
     """Of each token: its count, its pair's count, its context's count."""
     answers = sorted(answers, key=lambda r: r["part"])
     w, p = np.empty(len(x.hashes), np.int64), np.empty(len(x.pairs), np.int64)
-    w[x.word_order] = np.frombuffer(b"".join(r[words] for r in answers), np.uint32)
-    p[x.pair_order] = np.frombuffer(b"".join(r[pairs] for r in answers), np.uint32)
+    parts = [r["part"] for r in answers]
+    most = max(parts, default=-1) + 1
+    w[x.word_order] = _widened([r[words] for r in answers], np.bincount(x.word_part, minlength=most)[parts])
+    p[x.pair_order] = _widened([r[pairs] for r in answers], np.bincount(x.pair_part, minlength=most)[parts])
     w[BEGIN] = w[END]  # a text begins as often as it ends
     return w[x.stream], p[x.pair_at], w[x.before]
 
