@@ -103,7 +103,7 @@ def demux(data: bytes) -> dict[int, dict]:
             raise ValueError(f"page at byte {at} doesn't follow in stream {serial}")
         s["pages"] += 1
         s["ended"] = bool(flags & LAST)
-        size = 0
+        size, before = 0, len(s["packets"])
         for v in lacing:
             size += v
             if v < 255:
@@ -113,6 +113,9 @@ def demux(data: bytes) -> dict[int, dict]:
                 s["open"], body, size = [], body + size, 0
         if size:
             s["open"].append(data[body : body + size])
+        # The page's position is that of its last packet's end; a packet of 8-bit samples lasts as long as it has bytes, so earlier ones end so much sooner.
+        for k in range(len(s["packets"]) - 2, before - 1, -1):
+            s["granules"][k] = max(0, s["granules"][k + 1] - len(s["packets"][k + 1]))
         at = end
     for serial, s in streams.items():
         if s.pop("open") or not s["ended"]:
