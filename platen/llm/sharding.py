@@ -62,11 +62,13 @@ def slot_of(key, slots: int = SLOTS):
 
 
 def place(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
-    """df with slot and shard; nothing is shuffled."""
+    """df with slot and shard; nothing is shuffled. Columns of those names give way to the results; all others stay."""
     shards = shards or [f"shard-{i}" for i in range(SHARDS)]
-    table = table_frame(df.sparkSession, fill(shards, slots)).withColumnsRenamed({"slot": "_slot", "shard": "_shard"})
-    keyed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
-    return keyed.join(F.broadcast(table), F.col("slot") == F.col("_slot"), "inner").drop("_slot").withColumnRenamed("_shard", "shard")
+    kept = df.drop("slot", "shard")
+    at, held = common.fresh(kept, "at_slot", "at_shard")
+    table = table_frame(df.sparkSession, fill(shards, slots)).withColumnsRenamed({"slot": at, "shard": held})
+    keyed = kept.withColumn("slot", slot_of(F.col(key), slots))
+    return keyed.join(F.broadcast(table), F.col("slot") == F.col(at), "inner").drop(at).withColumnRenamed(held, "shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
