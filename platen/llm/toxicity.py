@@ -15,7 +15,8 @@
 
 Defined cases: null or empty text has no terms and gets that rate; null labels and labels of
 unknown documents are ignored; without training labels every score is 0; of several labels of a
-document the highest holds; repeated rows are scored each; extra columns are ignored.
+document the highest holds; of several texts of a labelled document the one of least hash is the
+example; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,9 +107,9 @@ def term_counts(docs: DataFrame, chosen: list[str]) -> DataFrame:
                 ids.append([i for i, _ in found])
                 tfs.append([n for _, n in found])
                 bare.append(None if found else text)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(bare, pa.string())], names=["doc_id", "ids", "tfs", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(bare, pa.string()), b.column(2)], names=["doc_id", "ids", "tfs", "text", "text_hash"])
 
-    return docs.select("doc_id", common.whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>, text string")
+    return docs.select("doc_id", common.whole_text().alias("text"), F.xxhash64(common.whole_text()).alias("text_hash")).mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>, text string, text_hash long")
 
 
 class BlockMax:
@@ -234,6 +235,12 @@ class Full:
         return [(float(sums[x]), int(x)) for x in best]
 
 
+def _one_text(rows: DataFrame, tells: str) -> DataFrame:
+    """Of several texts of a doc_id the one of least hash, whatever the order of rows."""
+    least = rows.groupBy("doc_id").agg(F.min(tells).alias(tells))
+    return rows.join(least, ["doc_id", tells], "left_semi").dropDuplicates(["doc_id"])
+
+
 def full_index(docs: DataFrame, sample: DataFrame, chosen: list[str], n: int) -> tuple[Full, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """The index, and the term counts of its examples without a chosen term, by place. The driver holds all terms of the sample's texts as arrays."""
 
@@ -243,7 +250,8 @@ def full_index(docs: DataFrame, sample: DataFrame, chosen: list[str], n: int) ->
             found = [counted(text, hashes) for text in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["doc_id", "toxic", "h", "c"])
 
-    own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", common.whole_text().alias("text")).dropDuplicates(["doc_id"])
+    own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", common.whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
+    own = _one_text(own, "h").select("doc_id", "toxic", "text")
     rows = own.mapInArrow(features, "doc_id long, toxic int, h binary, c binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     held = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int32)) for r in rows]
@@ -352,16 +360,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
         df[r["i"]] = r["count"]
     idf = np.where(df > 0, np.log((n + 1) / np.maximum(df, 1)), 0.0)
     known = counts.join(F.broadcast(sample), "doc_id")
-    examples = known.where(F.size("ids") > 0).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(SAMPLE).collect()
+    examples = _one_text(known.where(F.size("ids") > 0), "text_hash").orderBy("doc_id").limit(SAMPLE).collect()
     bare = {r.y: r.n for r in known.where(F.size("ids") == 0).groupBy((F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     return Model(idf, [(r.doc_id, r.ids, r.tfs, r.toxic) for r in examples], (bare.get(False, 0), bare.get(True, 0)), *full_index(docs, sample, chosen, n)), counts
 
 
-SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
+SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>, text_hash long"
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (the nearest three examples)."""
+    """doc_id, held_out, score, predicted, evidence (the nearest three examples), text_hash (tells rows of one doc_id apart)."""
     model, counts = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -387,9 +395,9 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score.append(s)
                 evidence.append(e)
             predicted = [int(s >= 0.5) for s in score]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, evidence_type)], names=["doc_id", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, evidence_type), b.column(4)], names=["doc_id", "score", "predicted", "evidence", "text_hash"])
 
-    return counts.mapInArrow(run, SCHEMA).select("doc_id", F.coalesce(~is_train(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+    return counts.mapInArrow(run, SCHEMA).select("doc_id", F.coalesce(~is_train(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
