@@ -28,11 +28,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='platen-')}"
             spark.sparkContext.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/platen-{uuid.uuid4().hex}"

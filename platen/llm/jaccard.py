@@ -86,14 +86,14 @@ _SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int3
 DOCS, SETS, TOKENS = 0, 1, 2
 
 
-def _send(block: int, ids: list, sets: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    """DOCS: ids (null as 0), sizes with the sign of null ids, class digests. SETS: digests and first rows. TOKENS: upper 40 bits of the hashes, and rows as differences."""
+def _send(block: int, ids: list, owns: list, sets: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """DOCS: ids (null as 0) and hashes of the texts, sizes with the sign of null ids, class digests. SETS: digests and first rows. TOKENS: upper 40 bits of the hashes, and rows as differences."""
     import xxhash
 
     digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16) for s in sets]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flags = np.where([i is None for i in ids], -1 - sizes, sizes)
-    rows = [{"part": block % parts, "block": block, "kind": DOCS, "a": np.array([i or 0 for i in ids], np.int64).tobytes(), "b": flags.tobytes(), "c": b"".join(digests)}]
+    rows = [{"part": block % parts, "block": block, "kind": DOCS, "a": np.array([i or 0 for i in ids] + owns, np.int64).tobytes(), "b": flags.tobytes(), "c": b"".join(digests)}]
     first: dict[bytes, int] = {}
     for k, d in enumerate(digests):
         if sizes[k]:
@@ -123,19 +123,20 @@ def _send(block: int, ids: list, sets: list[np.ndarray], parts: int) -> Iterator
 def sent(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        ids, sets, size, hashes = [], [], 0, _Hashes()
+        ids, owns, sets, size, hashes = [], [], [], 0, _Hashes()
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids.append(doc_id)
+                owns.append(own)
                 sets.append(shingles(text, hashes))
                 size += len(sets[-1])
                 if size >= BLOCK_SHINGLES or len(ids) >= 1 << 16:
-                    yield from _send(task << 18 | made, ids, sets, parts)
-                    ids, sets, size, hashes, made = [], [], 0, _Hashes(), made + 1
+                    yield from _send(task << 18 | made, ids, owns, sets, parts)
+                    ids, owns, sets, size, hashes, made = [], [], [], 0, _Hashes(), made + 1
         if ids:
-            yield from _send(task << 18 | made, ids, sets, parts)
+            yield from _send(task << 18 | made, ids, owns, sets, parts)
 
-    return docs.select("doc_id", common.whole_text().cast("binary").alias("text")).mapInArrow(run, SENT)
+    return docs.select("doc_id", common.whole_text().cast("binary").alias("text"), F.xxhash64(common.whole_text()).alias("own")).mapInArrow(run, SENT)
 
 
 def _steps_back(data: bytes) -> np.ndarray:
@@ -172,12 +173,12 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _SENT)
 
 
-SETS_OF = "rid long, doc_id long, n long, first long, tokens binary"
-_SETS_OF = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("tokens", pa.binary())])
+SETS_OF = "rid long, doc_id long, own long, n long, first long, tokens binary"
+_SETS_OF = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("tokens", pa.binary())])
 
 
 def _assemble(table: pa.Table) -> pa.Table:
-    """A row per text: row id, doc_id, set size, its class's first row, and for a first row its shared tokens, rare ones first."""
+    """A row per text: row id, doc_id, hash of the text, set size, its class's first row, and for a first row its shared tokens, rare ones first."""
     rows = table.to_pylist()
     docs = next(r for r in rows if r["kind"] == DOCS)
     block = docs["block"]
@@ -185,7 +186,8 @@ def _assemble(table: pa.Table) -> pa.Table:
     for r in rows:
         if r["kind"] == SETS:
             first.update(zip((r["a"][k : k + 16] for k in range(0, len(r["a"]), 16)), np.frombuffer(r["b"], np.int64).tolist(), strict=True))
-    ids, flags = np.frombuffer(docs["a"], np.int64), np.frombuffer(docs["b"], np.int64)
+    flags = np.frombuffer(docs["b"], np.int64)
+    ids, owns = np.frombuffer(docs["a"], np.int64).reshape(2, -1)
     n = np.where(flags < 0, -1 - flags, flags)
     token_rows = [r for r in rows if r["kind"] == TOKENS]
     tokens = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in token_rows]) if token_rows else np.empty(0, np.uint64)
@@ -196,7 +198,7 @@ def _assemble(table: pa.Table) -> pa.Table:
     rids = [block << ROW_BITS | k for k in range(len(ids))]
     classes = [first.get(docs["c"][16 * k : 16 * k + 16], rids[k]) if n[k] else rids[k] for k in range(len(ids))]
     held = [tokens[cut[k] : cut[k + 1]].tobytes() if classes[k] == rids[k] else None for k in range(len(ids))]
-    return pa.Table.from_arrays([pa.array(rids, pa.int64()), pa.array(ids, pa.int64(), mask=flags < 0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(held, pa.binary())], schema=_SETS_OF)
+    return pa.Table.from_arrays([pa.array(rids, pa.int64()), pa.array(ids, pa.int64(), mask=flags < 0), pa.array(owns, pa.int64()), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(held, pa.binary())], schema=_SETS_OF)
 
 
 def required(n: int) -> int:
@@ -355,8 +357,8 @@ def links(sets: DataFrame) -> DataFrame:
     return far if edges is None else edges.union(far)
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, own (hash of the text), n, component, as a kept table: a row for each row of docs."""
     spark = docs.sparkSession
     common.tune(spark)
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -366,19 +368,37 @@ def joined(docs: DataFrame) -> DataFrame:
     sets = common.kept(answers.groupBy("block").applyInArrow(_assemble, SETS_OF), "jaccard-sets")
     common.drop_kept(answers)
     common.sweep(spark)
-    labels = components(links(sets))
-    rows = sets.select("rid", "doc_id", "n", "first")
-    placed = rows.join(labels, rows["first"] == labels.node, "left").select("doc_id", "n", F.coalesce("component", "first").alias("component"))
+    labels = common.kept(components(links(sets)), "jaccard-labels")
+    rows = sets.select("doc_id", "own", "n", "first")
+    placed = rows.join(labels, rows["first"] == labels.node, "left").select("doc_id", "own", "n", F.coalesce("component", "first").alias("component"))
     placed = common.kept(placed, "jaccard-rows")
-    common.drop_kept(sets)
-    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    common.drop_kept(sets, labels)
+    return placed
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    placed = _rows(docs)
+    names = common.kept(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-names")
     return placed.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+_LAST = 2**63 - 1
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents without those that link, directly or not, to one of smaller doc_id; of equal rows one stays."""
-    gone = joined(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One row of each group of rows that link: the one of least doc_id (null last), then of least text hash. A row is known by doc_id and text, so rows that share an id stand for themselves; of equal rows one stays."""
+    placed = _rows(docs).withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
+    first = placed.groupBy("component").agg(F.min("doc").alias("first"))
+    first = common.kept(first, "jaccard-first")
+    there = placed.join(first, "component").where("doc = first").groupBy("component", "first").agg(F.min("own").alias("first_own"))
+    stays = common.kept(there, "jaccard-stays")
+    gone = placed.join(stays, "component").where("doc != first or own != first_own")
+    doc, own = common.fresh(docs, "doc", "own")
+    gone = common.kept(gone.select(F.col("doc").alias(doc), F.col("own").alias(own)).distinct(), "jaccard-gone")
+    keyed = docs.withColumns({doc: F.coalesce(docs["doc_id"], F.lit(_LAST)), own: F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
+    left = keyed.join(gone, [doc, own], "left_anti")
+    return left.dropDuplicates([doc, own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
