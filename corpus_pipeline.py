@@ -17,10 +17,12 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are predicted toxic. A null doc_id is never rejected."""
+    """Without the documents that are predicted toxic. A row is known by its doc_id and its text, so a rejected one takes no other row of its id along."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = nearest.scores(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rejected = nearest.scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("rejected_id"), F.col("text_hash").alias("rejected_hash")).distinct()
+    rejected = common.kept(rejected, "toxic-rows")
+    same = docs["doc_id"].eqNullSafe(rejected["rejected_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == rejected["rejected_hash"])
+    return docs.join(rejected, same, "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
