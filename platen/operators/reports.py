@@ -270,6 +270,26 @@ def located_words(words: DataFrame, wanted: DataFrame, keys: list[str]) -> DataF
     return best.select(*keys, "wanted", "pos", F.when(F.col("tier") == 0, "literal").otherwise("fuzzy").alias("tier"), F.when(F.col("tier") == 0, F.abs(F.char_length("k") - F.char_length("wanted"))).otherwise(F.levenshtein("k", "wanted")).alias("distance"))
 
 
+def located_phrases(words: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, phrase, pos, size, distance: runs of n, n + 1 or n - 1 words of one line whose keys, forward or backward, hold the phrase's key (exact: what else they hold is the distance); where no run does, those within 15 % edits, one at least. Columns: keys, line, pos, k (key); keys, phrase (key), n (words)."""
+    order = Window.partitionBy(*keys, "line").orderBy("pos")
+    rows = words.where("k != ''")
+    sizes = [r["n"] for r in phrases.select("n").distinct().orderBy("n").collect()]
+    runs = None
+    for size in sorted({m for n in sizes for m in (n, n + 1, n - 1) if m > 0}):
+        parts = [F.lead("k", d).over(order) for d in range(size)]
+        run = rows.select(*keys, "line", "pos", F.lit(size).alias("size"), *[x.alias(f"_w{d}") for d, x in enumerate(parts)]).where(F.col(f"_w{size - 1}").isNotNull())
+        run = run.select(*keys, "pos", "size", F.concat(*[f"_w{d}" for d in range(size)]).alias("fore"), F.concat(*[f"_w{d}" for d in reversed(range(size))]).alias("back"))
+        runs = run if runs is None else runs.union(run)
+    met = runs.join(phrases, keys).where(F.abs(F.col("size") - F.col("n")) <= 1)
+    f = F.col("phrase")
+    held = F.contains("fore", f) | F.contains("back", f)
+    d = F.least(F.levenshtein("fore", "phrase"), F.levenshtein("back", "phrase"))
+    budget = F.greatest(F.lit(1), F.floor(F.char_length("phrase") * 0.15))
+    tiered = met.withColumn("tier", F.when(held, 0).when(d <= budget, 1)).where("tier is not null").withColumn("best", F.min("tier").over(Window.partitionBy(*keys, "phrase"))).where("tier = best")
+    return tiered.select(*keys, "phrase", "pos", "size", F.when(F.col("tier") == 0, F.abs(F.char_length("fore") - F.char_length("phrase"))).otherwise(d).alias("distance"))
+
+
 def really_differs(kind: Column, a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
     """Whether a claimed difference holds: what it quotes of a side must be there, and if one side is empty, not on the other. Quotes whose keys are equal must be there letter by letter (but for white space)."""
     bare = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", "")

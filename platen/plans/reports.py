@@ -369,3 +369,34 @@ def conversation_words(t: Tables) -> DataFrame:
     block = F.transform(F.split("text", "\n"), lambda p: F.transform(F.split(p, " "), word))
     pages = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]).alias("tree"))
     return reports.tree_words(pages, ["conv_id"], "tree")
+
+
+_PHRASES = ["THTHE", "ANDTHE", "OFTHE", "ERANDIN"]
+
+
+@query("with w as (select item_id, string_split(upper(regexp_replace(text, '[^A-Za-z \\n]', '', 'g')), chr(10)) as ls from benchmark), l as (select item_id, unnest(range(1, len(ls) + 1)) as line, ls from w), x as (select item_id, line, list_filter(string_split(ls[line], ' '), lambda z: z <> '') as ks from l), q as (select unnest(['THTHE', 'ANDTHE', 'OFTHE', 'ERANDIN']) as phrase, unnest([2, 2, 2, 3]) as n), s as (select distinct unnest([n, n + 1, n - 1]) as size from q), r as (select item_id, line, i - 1 as place, size, array_to_string(ks[i:i + size - 1], '') as fore, array_to_string(list_reverse(ks[i:i + size - 1]), '') as back from x, s, range(1, 1000) g(i) where i + size - 1 <= len(ks)), m as (select r.*, phrase, case when contains(fore, phrase) or contains(back, phrase) then 0 when least(levenshtein(fore, phrase), levenshtein(back, phrase)) <= greatest(1, floor(length(phrase) * 0.15)) then 1 end as tier from r, q where abs(size - n) <= 1), b as (select item_id, phrase, min(tier) as best from m where tier is not null group by 1, 2) select m.item_id, m.phrase, line - 1 as line, place, m.size, case when tier = 0 then abs(length(fore) - length(m.phrase)) else least(levenshtein(fore, m.phrase), levenshtein(back, m.phrase)) end::int as distance from m join b on b.item_id = m.item_id and b.phrase = m.phrase and tier = best")
+def phrase_locations(t: Tables) -> DataFrame:
+    lines = t.benchmark.select("item_id", F.posexplode(F.split(F.upper(F.regexp_replace("text", "[^A-Za-z \\n]", "")), "\n")).alias("line", "x"))
+    words = lines.select("item_id", "line", F.posexplode(F.filter(F.split("x", " "), lambda z: z != "")).alias("at", "k")).select("item_id", "line", (F.col("line") * 10_000 + F.col("at")).alias("pos"), "k")
+    n = F.when(F.col("phrase") == "ERANDIN", 3).otherwise(2)
+    phrases = t.benchmark.select("item_id", F.explode(F.array(*[F.lit(p) for p in _PHRASES])).alias("phrase")).withColumn("n", n)
+    out = reports.located_phrases(words, phrases, ["item_id"])
+    return out.select("item_id", "phrase", F.floor(F.col("pos") / 10_000).alias("line"), (F.col("pos") % 10_000).cast("bigint").alias("place"), "size", F.col("distance").cast("int").alias("distance"))
+
+
+@query()
+def line_pair_differences(t: Tables) -> DataFrame:
+    """Differences between each line of a document and the next, told from lines broken elsewhere."""
+    ship(t.spark)
+    parts = F.split("text", "\n")
+    d = t.documents.select("doc_id", parts.alias("parts"), F.posexplode(parts).alias("pos", "a"))
+    at = lambda k: F.coalesce(F.get("parts", F.col("pos") + k), F.lit(""))
+    x = d.select("doc_id", "pos", text.pair_differences(F.col("a"), at(1), F.concat(at(-1), at(1)), F.concat(F.col("a"), at(2))).alias("steps"), text.diff_spans(F.col("a"), at(1), F.concat_ws(" ", at(-1), F.col("a")), F.concat_ws(" ", at(1), at(2))).alias("spans"))
+    return x.select("doc_id", "pos", F.size("steps").alias("steps"), F.size(F.filter("steps", lambda s: s["kind"] == "REFLOW")).alias("reflow"), F.size("spans.a").alias("spans"))
+
+
+@query()
+def cross_document_extras(t: Tables) -> DataFrame:
+    """Lines of a conversation's first turn against those of its second."""
+    lines = t.conversations.where("turn < 2").select("conv_id", F.when(F.col("turn") == 0, "a").otherwise("b").alias("side"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return alignment.cross_extras(lines, ["conv_id"])

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from platen.functions import text
-from platen.operators import findings, reports
+from platen.operators import alignment, findings, reports
 
 
 def test_relation(spark):
@@ -44,3 +44,30 @@ def test_answers_clones_and_words(spark):
     words = spark.createDataFrame([("tast",), ("pantothenote",)], "word string")
     pools = spark.createDataFrame([("taste", 1, 5), ("toast", 2, 9), ("last", 2, 3), ("test", 2, 1), ("Pantothenate", 0, 1)], "word string, pool int, frequency int")
     assert {r.word: r.suggested for r in reports.suggestions(words, pools).collect()} == {"tast": ["taste"], "pantothenote": ["Pantothenate"]}
+
+
+def test_differences_of_a_pair(spark):
+    cases = [
+        ("Fat 20% max", "Fat 24% max", "", "", [("NUMBER", "0", "4")]),
+        ("Store in a cool", "Store in a cool place", "place and dry", "", [("REFLOW", "", "place")]),
+        ("Store in a cool", "Store in a cool shed", "place and dry", "", [("TEXT", "", "shed")]),
+        ("Name .... x", "Name x", "", "", [("FILLER", "…", "")]),
+        ("½ cup", "2 cup", "", "", [("FRACTION", "1/", "")]),
+        ("Panto-", "Panto", "", "", [("REFLOW", "-", "")]),
+        ("Net", "NET", "", "", [("CASE", "et", "ET")]),
+        ("same", "same", "", "", []),
+    ]
+    d = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, a string, b string, p string, q string")
+    got = d.orderBy("i").select(text.pair_differences(F.col("a"), F.col("b"), F.col("p"), F.col("q")).alias("x")).collect()
+    assert [[(s.kind, s.a, s.b) for s in r.x] for r in got] == [c[4] for c in cases]
+
+
+def test_spans_and_moved_texts(spark):
+    d = spark.createDataFrame([("keep in a dry place", "keep in a wet place", "", ""), ("and cool place today", "cool place", "", "here and there"), ("", "x", "", "")], "a string, b string, p string, q string")
+    got = [r.x for r in d.select(text.diff_spans("a", "b", "p", "q").alias("x")).collect()]
+    assert [(r.a, r.b) for r in got] == [([[10, 13]], [[10, 13]]), ([[15, 20]], []), ([], [])]
+    rows = [(1, 0, "TEXT", "salt", ""), (1, 1, "TEXT", "", "salt"), (1, 2, "TEXT", "fish", ""), (1, 3, "TEXT", "oil", "oilfish."), (1, 4, "TEXT", "x", ""), (1, 5, "TEXT", "", "x")]
+    f = spark.createDataFrame(rows, "p int, i int, kind string, a string, b string")
+    assert {r.i: r.kind for r in alignment.moved_texts(f, ["p"]).collect()} == {0: "MOVED", 1: "MOVED", 2: "MOVED", 3: "TEXT", 4: "TEXT", 5: "TEXT"}
+    lines = spark.createDataFrame([(1, "a", 0, "made in the north of spain"), (1, "a", 1, "nothing like it"), (1, "b", 0, "was made in the north"), (1, "b", 1, "left over")], "g int, side string, i int, line string")
+    assert {(r.found, r.reference) for r in alignment.cross_extras(lines, ["g"]).collect()} == {("made in the north of spain", "was made in the north"), ("nothing like it", None), (None, "left over")}
