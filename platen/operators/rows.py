@@ -84,10 +84,11 @@ def dropped(df: DataFrame, keys: list[str], number: str) -> DataFrame:
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """keys, ema: the last value of prev (1 - alpha) + v alpha, seeded by the first. A fold over each group's ordered values."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
-    fold = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), F.get("_rows", F.lit(0))["_v"], lambda s, r: s * (1 - alpha) + r["_v"] * alpha)
-    return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, fold.alias("ema"))
+    """keys, ema: the last value of prev (1 - alpha) + v alpha, seeded by the first. In closed form: a sum in which the row k places before the last weighs alpha (1 - alpha)^k, and the first 1 in place of alpha; so a group is a sorted stream and never one row."""
+    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), (F.row_number().over(last) - 1).alias("_k"), F.lead(F.lit(1)).over(last).isNull().alias("_first"))
+    weight = F.pow(F.lit(1.0 - alpha), F.col("_k")) * F.when(F.col("_first"), 1.0).otherwise(alpha)
+    return rows.groupBy(*keys).agg(F.sum(weight * F.col("_v")).alias("ema"))
 
 
 def prefix_limit(df: DataFrame, keys: list[str], order: list[Column], passed: Column, value: str) -> DataFrame:
@@ -102,15 +103,17 @@ def every_nth(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") % n == 0).drop("_rn")
 
 
-def upper_median(value: Column) -> Column:
-    """sorted[n // 2] as an aggregate; never a mean of two."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
+def upper_median(value: str) -> Column:
+    """sorted[n // 2] as an aggregate; never a mean of two. From the top that is the value at half of the rows, counted by distinct values."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {value} desc)")
 
 
-def p95_index(value: Column) -> Column:
-    """sorted[int(0.95 n) - 1] of 20 values or more, else the largest."""
-    n = F.count(value)
-    return F.when(n >= 20, F.get(F.array_sort(F.collect_list(value)), F.floor(n * 0.95).cast("int") - 1)).otherwise(F.max(value))
+def p95_index(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, p95: sorted[int(0.95 n) - 1] of 20 values or more, else the largest. Ranked in a window that spills; nulls are left out."""
+    some = df.where(F.col(value).isNotNull()).select(*keys, value)
+    n = F.count("*").over(Window.partitionBy(*keys))
+    ranked = some.withColumn("_n", n).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
+    return ranked.where(F.col("_rn") == F.when(F.col("_n") >= 20, F.floor(F.col("_n") * 0.95)).otherwise(F.col("_n"))).select(*keys, F.col(value).alias("p95"))
 
 
 def multiset_intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
