@@ -37,6 +37,8 @@ SAMPLE = 8_000
 #: Terms at most, and what a term must show: rows, chi-square, and its rate in toxic rows over that in the others.
 TERMS, LEAST_ROWS, LEAST_CHI, LEAST_LIFT = 2048, 8, 40.0, 8.0
 NEIGHBOURS = 15
+#: Texts that are compared with the full vectors at once.
+TOGETHER = 64
 BLOCK = 64
 
 _words = re.compile(r"[^\W_]+|[^\w\s]{2,}").findall
@@ -199,13 +201,20 @@ class Full:
         self.bare = np.flatnonzero(~known)
 
     def weigh(self, idf: np.ndarray) -> None:
+        """Lists of rare terms stay lists. Terms that more than a sixteenth of the examples have are dense rows: their lists are nearly all of what a text would read, and a batch of texts multiplies with them at once."""
         self.idf = idf
         w = self.weights * idf[self.cols]
         norms = np.sqrt(np.bincount(self.rows, w * w, minlength=len(self.names)))
         w /= np.maximum(norms, 1e-300)[self.rows]
-        order = np.argsort(self.cols, kind="stable")
-        self.starts = np.searchsorted(self.cols[order], np.arange(len(idf) + 1))
-        self.rows, self.weights = self.rows[order], w[order]
+        often = np.bincount(self.cols, minlength=len(idf)) > max(64, len(self.names) // 16)
+        self.dense_at = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.dense = np.zeros((int(often.sum()), len(self.names)))
+        common = often[self.cols]
+        self.dense[self.dense_at[self.cols[common]], self.rows[common]] = w[common]
+        rows, cols, w = self.rows[~common], self.cols[~common], w[~common]
+        order = np.argsort(cols, kind="stable")
+        self.starts = np.searchsorted(cols[order], np.arange(len(idf) + 1))
+        self.rows, self.weights = rows[order], w[order]
         del self.cols
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,23 +225,31 @@ class Full:
         ok = self.vocabulary[at] == hashes
         return at[ok], ok
 
-    def nearest(self, hashes: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest positive cosine, as BlockMax has them."""
-        at, ok = self.places(hashes)
-        w = (1 + np.log(counts[ok])) * self.idf[at]
-        norm = np.sqrt((w * w).sum())
-        if not norm:
-            return []
-        sums = np.zeros(len(self.names))
-        for t, x in zip(at.tolist(), (w / norm).tolist(), strict=True):
-            i, j = self.starts[t], self.starts[t + 1]
-            sums[self.rows[i:j]] += x * self.weights[i:j]
-        if without >= 0:
-            sums[without] = 0
-        sums = np.round(sums, 9)
-        found = np.flatnonzero(sums > 0)
-        best = found[np.lexsort((found, -sums[found]))[:k]]
-        return [(float(sums[x]), int(x)) for x in best]
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each text (hashes, counts) the k examples of greatest positive cosine, as BlockMax has them; without: a place left out of each."""
+        made, queries = [], np.zeros((len(texts), len(self.dense)))
+        for n, (hashes, counts) in enumerate(texts):
+            at, ok = self.places(hashes)
+            w = (1 + np.log(counts[ok])) * self.idf[at]
+            norm = np.sqrt((w * w).sum())
+            w = w / norm if norm else w[:0]
+            at = at[: len(w)]
+            dense = self.dense_at[at] >= 0
+            queries[n, self.dense_at[at[dense]]] = w[dense]
+            made.append((at[~dense], w[~dense]))
+        sums = queries @ self.dense
+        out = []
+        for n, (at, w) in enumerate(made):
+            first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+            entry = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            all_ = np.round(sums[n] + np.bincount(self.rows[entry], np.repeat(w, size) * self.weights[entry], minlength=len(self.names)), 9)
+            if without is not None:
+                all_[without[n]] = 0
+            least = np.partition(all_, len(all_) - k)[len(all_) - k] if len(all_) > k else 0.0
+            found = np.flatnonzero((all_ > 0) & (all_ >= least))
+            best = found[np.lexsort((found, -all_[found]))[:k]]
+            out.append([(float(all_[x]), int(x)) for x in best])
+        return out
 
 
 def _one_text(rows: DataFrame, tells: str) -> DataFrame:
@@ -323,7 +340,10 @@ class Model:
         votes = [self.index.vote(self.index.nearest(v, NEIGHBOURS, at), self.prior) for at, v in enumerate(self.index.vectors)]
         self.steps, self.levels = isotonic(votes, [int(y > 0) for y in self.index.labels]) if votes else (np.array([0.0]), np.array([self.bare]))
         self.full = full
-        votes = [full.vote(full.nearest(*held[int(at)], NEIGHBOURS, int(at)), self.prior) for at in full.bare]
+        votes = []
+        for k in range(0, len(full.bare), TOGETHER):
+            places = full.bare[k : k + TOGETHER].tolist()
+            votes += [full.vote(near, self.prior) for near in full.nearest([held[at] for at in places], NEIGHBOURS, places)]
         self.full_steps, self.full_levels = isotonic(votes, [int(y > 0) for y in full.labels[full.bare]]) if votes else (np.array([0.0]), np.array([self.bare]))
 
     def vector(self, ids: list[int], counts: list[int]) -> dict[int, float]:
@@ -331,12 +351,12 @@ class Model:
         norm = sum(x * x for x in w.values()) ** 0.5
         return {i: float(x / norm) for i, x in w.items()} if norm else {}
 
-    def score_full(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        near = self.full.nearest(hashes, counts, NEIGHBOURS)
-        if not near:
-            return self.bare, []
-        at = np.searchsorted(self.full_steps, round(self.full.vote(near, self.prior), 6), side="right") - 1
-        return float(self.full_levels[max(0, at)]), near
+    def score_full(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        out = []
+        for near in self.full.nearest(texts, NEIGHBOURS) if len(self.full.names) else [[] for _ in texts]:
+            at = np.searchsorted(self.full_steps, round(self.full.vote(near, self.prior), 6), side="right") - 1 if near else 0
+            out.append((float(self.full_levels[max(0, at)]) if near else self.bare, near))
+        return out
 
     def score(self, ids: list[int], counts: list[int]) -> tuple[float, list[tuple[float, int]]]:
         v = self.vector(ids, counts)
@@ -378,9 +398,11 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             score, evidence = [], []
+            bare = [x for x in b.column(3).to_pylist() if x is not None]
+            scored = (x for k in range(0, len(bare), TOGETHER) for x in m.score_full([counted(t, hashes) for t in bare[k : k + TOGETHER]]))
             for ids, tfs, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if text is not None:
-                    s, near = m.score_full(*counted(text, hashes))
+                    s, near = next(scored)
                     score.append(s)
                     toxic = any(m.full.labels[at] > 0 for _, at in near[:3])
                     evidence.append([{"doc_id": int(m.full.names[at]), "cosine": c, "toxic": int(m.full.labels[at])} for c, at in near[:3]] if toxic else [])
