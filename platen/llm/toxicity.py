@@ -2,7 +2,7 @@
 
 1. A bounded sample of labelled training rows picks the terms that mark toxic texts (chi-square).
 2. One pass over all texts keeps each one's counts of those terms; document frequencies are
-   counted over all of them.
+   counted over all of them. Scores are made in a scan of the texts, so nothing is shuffled.
 3. The sample's rows become a block-max inverted index of TF-IDF unit vectors. A text's nearest
    examples by cosine are exact: blocks are scored in the order of their bound until no bound
    reaches the last neighbour kept; equal cosines go by the example's place.
@@ -90,28 +90,38 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
     return [r.term for r in good.orderBy(chi.desc(), "term").limit(TERMS).collect()]
 
 
-def term_counts(docs: DataFrame, chosen: list[str]) -> DataFrame:
-    """doc_id, ids array<int>, tfs array<int>, text (only of texts without a chosen term), over all rows."""
+def chosen_counts(chosen: list[str]):
+    """A function from a text to the places and counts of its chosen terms, in order."""
     place = {w: i for i, w in enumerate(chosen)}
+    short = {w for w in place if not w.endswith("*")}
+    long = {w[:-1] for w in place if w.endswith("*") and len(w) == 6}
+
+    def count(text: str) -> list[tuple[int, int]]:
+        words = _words(text.lower())
+        c = Counter(filter(short.__contains__, words))
+        for w in words:
+            if w[:5] in long and len(w) > 5:
+                c[w[:5] + "*"] += 1
+        return sorted((place[w], n) for w, n in c.items())
+
+    return count
+
+
+def term_counts(docs: DataFrame, chosen: list[str]) -> DataFrame:
+    """doc_id, ids array<int>, tfs array<int>, text_hash, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = {w for w in place if not w.endswith("*")}
-        long = {w[:-1] for w in place if w.endswith("*") and len(w) == 6}
+        count = chosen_counts(chosen)
         for b in batches:
-            ids, tfs, bare = [], [], []
-            for text in b.column(1).to_pylist():
-                words = _words(text.lower())
-                c = Counter(filter(short.__contains__, words))
-                for w in words:
-                    if w[:5] in long and len(w) > 5:
-                        c[w[:5] + "*"] += 1
-                found = sorted((place[w], n) for w, n in c.items())
-                ids.append([i for i, _ in found])
-                tfs.append([n for _, n in found])
-                bare.append(None if found else text)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), pa.array(bare, pa.string()), b.column(2)], names=["doc_id", "ids", "tfs", "text", "text_hash"])
-
-    return docs.select("doc_id", common.whole_text().alias("text"), F.xxhash64(common.whole_text()).alias("text_hash")).mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>, text string, text_hash long")
+            found = [count(text) for text in b.column(1).to_pylist()]
+            ids, tfs = [[i for i, _ in f] for f in found], [[n for _, n in f] for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "ids", "tfs", "text_hash"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>, text_hash long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", common.whole_text().alias("text"), F.xxhash64(common.whole_text()).alias("text_hash"))
 
 
 class BlockMax:
@@ -367,8 +377,8 @@ class Model:
         return float(self.levels[max(0, at)]), near
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the term counts of all rows."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[str]]:
+    """The model, and its chosen terms."""
     spark = docs.sparkSession
     common.tune(spark)
     sample = sample_of(labels)
@@ -382,7 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     known = counts.join(F.broadcast(sample), "doc_id")
     examples = _one_text(known.where(F.size("ids") > 0), "text_hash").orderBy("doc_id").limit(SAMPLE).collect()
     bare = {r.y: r.n for r in known.where(F.size("ids") == 0).groupBy((F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    return Model(idf, [(r.doc_id, r.ids, r.tfs, r.toxic) for r in examples], (bare.get(False, 0), bare.get(True, 0)), *full_index(docs, sample, chosen, n)), counts
+    common.drop_kept(counts)
+    return Model(idf, [(r.doc_id, r.ids, r.tfs, r.toxic) for r in examples], (bare.get(False, 0), bare.get(True, 0)), *full_index(docs, sample, chosen, n)), chosen
 
 
 SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>, text_hash long"
@@ -390,23 +401,26 @@ SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the nearest three examples), text_hash (tells rows of one doc_id apart)."""
-    model, counts = fit(docs, labels)
+    model, chosen = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen, hashes = shared.value, {}, Hashes()
+        m, seen, hashes, count = shared.value, {}, Hashes(), chosen_counts(chosen)
         evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             score, evidence = [], []
-            bare = [x for x in b.column(3).to_pylist() if x is not None]
+            texts = b.column(1).to_pylist()
+            found = [count(text) for text in texts]
+            bare = [text for text, f in zip(texts, found, strict=True) if not f]
             scored = (x for k in range(0, len(bare), TOGETHER) for x in m.score_full([counted(t, hashes) for t in bare[k : k + TOGETHER]]))
-            for ids, tfs, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if text is not None:
+            for f in found:
+                if not f:
                     s, near = next(scored)
                     score.append(s)
                     toxic = any(m.full.labels[at] > 0 for _, at in near[:3])
                     evidence.append([{"doc_id": int(m.full.names[at]), "cosine": c, "toxic": int(m.full.labels[at])} for c, at in near[:3]] if toxic else [])
                     continue
+                ids, tfs = [i for i, _ in f], [n for _, n in f]
                 key = (*ids, *tfs)
                 if key not in seen:
                     if len(seen) >= 100_000:
@@ -417,9 +431,9 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score.append(s)
                 evidence.append(e)
             predicted = [int(s >= 0.5) for s in score]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, evidence_type), b.column(4)], names=["doc_id", "score", "predicted", "evidence", "text_hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, evidence_type), b.column(2)], names=["doc_id", "score", "predicted", "evidence", "text_hash"])
 
-    return counts.mapInArrow(run, SCHEMA).select("doc_id", F.coalesce(~is_train(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "text_hash")
+    return _texts(docs).mapInArrow(run, SCHEMA).select("doc_id", F.coalesce(~is_train(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

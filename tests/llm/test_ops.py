@@ -83,6 +83,8 @@ def test_sharding(spark, docs, empty):
     for r in got:
         slot = int(hashlib.md5(("null" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % 1009
         assert (r.slot, r.shard) == (slot, table[slot])
+    odd = sharding.place(docs.select("doc_id", *[F.lit(1).alias(c) for c in ("at_slot", "_at_slot", "AT_SHARD", "slot", "_slot", "_shard")]), shards=names, slots=1009)
+    assert odd.columns == ["doc_id", "at_slot", "_at_slot", "AT_SHARD", "_slot", "_shard", "slot", "shard"] and odd.count() == len(base_rows())
     assert sharding.place(empty, shards=names, slots=1009).count() == 0
     with pytest.raises(ValueError):
         sharding.fill(names, 1000)
@@ -124,6 +126,8 @@ def test_ogg():
     stored = media.mux({1: packets, 2: other})
     got = media.demux(stored)
     assert got[1]["packets"] == [p for p, _ in packets] and got[2]["packets"] == [p for p, _ in other] and got[1]["granules"][-1] == 7
+    page = media.mux({1: [(b"a" * 10, 10), (b"b" * 5, 15), (b"c" * 7, 22)]})
+    assert media.demux(page)[1]["granules"] == [10, 15, 22]
     for at in (5, 40, len(stored) // 2, len(stored) - 1):
         with pytest.raises(ValueError):
             media.demux(stored[:at] + bytes([stored[at] ^ 1]) + stored[at + 1 :])
@@ -158,6 +162,31 @@ def test_nearest_is_exact():
         assert [k for _, k in got] == [k for _, k in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
 
 
+def test_full_vectors_are_exact():
+    """Frequent terms (dense rows) and rare ones (lists) together, ties, texts without a known term."""
+    rng, hashes = random.Random(1), toxicity.Hashes()
+    text = lambda: " ".join(f"w{min(2999, int(rng.paretovariate(0.6)))}" for _ in range(rng.randint(0, 200)))
+    held = [toxicity.counted(t, hashes) for t in [text() for _ in range(500)] + ["same words"] * 30]
+    full = toxicity.Full(list(range(530)), [i % 2 for i in range(530)], [h for h, _ in held], [c.astype(np.int32) for _, c in held], [])
+    df = collections.Counter(x for h, _ in held for x in h.tolist())
+    idf = np.array([math.log(531 / df[int(v)]) for v in full.vocabulary])
+    full.weigh(idf)
+    place = {int(v): i for i, v in enumerate(full.vocabulary)}
+
+    def vector(h, c):
+        v = {int(x): (1 + math.log(k)) * idf[place[int(x)]] for x, k in zip(h, c, strict=True) if int(x) in place}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / norm for k, x in v.items()} if norm else {}
+
+    vectors = [vector(*x) for x in held]
+    asked = [toxicity.counted(t, hashes) for t in [text() for _ in range(200)] + ["", "unheard", "same words"]]
+    assert len(full.dense) > 10
+    for (h, c), got in zip(asked, full.nearest(asked, 15), strict=True):
+        v = vector(h, c)
+        want = [(-s, i) for s, i in sorted((-round(sum(x * u.get(k, 0) for k, x in v.items()), 9), i) for i, u in enumerate(vectors)) if s < 0][:15]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(2)
     plain = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "river", "stone"]) for _ in range(30))
@@ -200,6 +229,32 @@ def test_lm(spark, docs, empty):
     assert lm.scores(empty, train).count() == 0
 
 
+def test_lm_score_equals_plain_interpolation(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "learn", lambda cells, uniform, rounds=200: {-1: (0.5, 0.3, 0.2)})
+    got = lm.scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()
+    tok = lambda t: [*(t or "").encode().lower().split(), None]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t, *_ in base_rows():
+        if not held(i):
+            w = tok(t)
+            one.update(w)
+            two.update(zip(["<", *w], w))
+            before.update(["<", *w[:-1]])
+    n, v = sum(one.values()), len(one)
+    p = lambda h, w: 0.5 * two[h, w] / max(1, before[h]) + 0.3 * one[w] / n + 0.2 / (v + 1)
+    want = sorted((str(i), round(sum(math.log10(p(h, w)) for h, w in zip(["<", *tok(t)], tok(t))), 6)) for i, t, *_ in base_rows())
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
+def test_lm_sums_beyond_32_bits():
+    keys, counts = [np.array([5, 9], np.uint64)] * 3, [np.array([2**32 - 1, 1], np.uint32)] * 3
+    total, main, facts = lm._summed(keys, counts, [False, False, True])
+    assert total[0].tolist() == [3 * (2**32 - 1), 3] and main[2].tolist() == [2 * (2**32 - 1), 2] and facts[0] == 3 * 2**32
+    back = lm._widened([total[0].tobytes(), np.array([7], np.uint32).tobytes(), b""], np.array([2, 1, 0]))
+    assert back.tolist() == [3 * (2**32 - 1), 3, 7]
+
+
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(1)
     cells = [(0, float(p2), float(p1), 1) for p2, p1 in rng.random((500, 2))]
@@ -457,3 +512,24 @@ def test_jaccard(spark, docs, empty):
     assert collections.Counter(map(tuple, got)) == brute_components(rows)
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for _, _, c in brute_components(rows)})
+
+
+def test_rows_that_share_an_id_stay_for_themselves(spark):
+    near, own = "one two three four five six seven", "quite another text of the same id"
+    rows = [(3, near), (5, near), (5, own), (None, near), (None, "a nameless text of its own here"), (7, ""), (7, None), (8, own + " x"), (3, near)]
+    kept = jaccard.one_of_each(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, doc int, `own` int")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("3", near), ("5", own), ("None", "a nameless text of its own here"), ("7", ""), ("8", own + " x")])
+
+
+def test_many_near_copies_that_hardly_link(spark):
+    """A base with copies of one to nine edits: those with more don't link, though they share its passages."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(260):
+        w = list(base)
+        for k in rng.sample(range(150), i % 10):
+            w[k] = word()
+        rows.append((i + 1, " ".join(w)))
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, got)) == brute_components(rows)
