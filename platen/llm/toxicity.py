@@ -1,8 +1,7 @@
 """Toxicity from the nearest labelled examples.
 
 1. A bounded sample of labelled training rows picks the terms that mark toxic texts (chi-square).
-2. One pass over all texts keeps each one's counts of those terms; document frequencies are
-   counted over all of them. Scores are made in a scan of the texts, so nothing is shuffled.
+2. Document frequencies of all terms of the sample are counted over all texts. Scores are made in a scan of the texts, so nothing is shuffled.
 3. The sample's rows become a block-max inverted index of TF-IDF unit vectors. A text's nearest
    examples by cosine are exact: blocks are scored in the order of their bound until no bound
    reaches the last neighbour kept; equal cosines go by the example's place.
@@ -107,19 +106,6 @@ def chosen_counts(chosen: list[str]):
     return count
 
 
-def term_counts(docs: DataFrame, chosen: list[str]) -> DataFrame:
-    """doc_id, ids array<int>, tfs array<int>, text_hash, over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = chosen_counts(chosen)
-        for b in batches:
-            found = [count(text) for text in b.column(1).to_pylist()]
-            ids, tfs = [[i for i, _ in f] for f in found], [[n for _, n in f] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "ids", "tfs", "text_hash"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>, text_hash long")
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", common.whole_text().alias("text"), F.xxhash64(common.whole_text()).alias("text_hash"))
 
@@ -268,22 +254,25 @@ def _one_text(rows: DataFrame, tells: str) -> DataFrame:
     return rows.join(least, ["doc_id", tells], "left_semi").dropDuplicates(["doc_id"])
 
 
-def full_index(docs: DataFrame, sample: DataFrame, chosen: list[str], n: int) -> tuple[Full, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The index, and the term counts of its examples without a chosen term, by place. The driver holds all terms of the sample's texts as arrays."""
+def full_index(docs: DataFrame, sample: DataFrame, chosen: list[str], n: int) -> tuple[Full, dict[int, tuple[np.ndarray, np.ndarray]], list[tuple[int, list[int], list[int], int]], np.ndarray]:
+    """The index; the term counts of its examples without a chosen term, by place; the others as (doc_id, places and counts of chosen terms, label); and the chosen terms' weights. The driver holds all terms of the sample's texts as arrays."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, count = Hashes(), chosen_counts(chosen)
         for b in batches:
-            found = [counted(text, hashes) for text in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["doc_id", "toxic", "h", "c"])
+            texts = b.column(2).to_pylist()
+            found = [counted(text, hashes) for text in texts]
+            own = [np.array(count(text), np.int32).tobytes() for text in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in ([h.tobytes() for h, _ in found], [c.astype(np.int32).tobytes() for _, c in found], own))], names=["doc_id", "toxic", "h", "c", "own"])
 
     own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", common.whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
     own = _one_text(own, "h").select("doc_id", "toxic", "text")
-    rows = own.mapInArrow(features, "doc_id long, toxic int, h binary, c binary").collect()
+    rows = own.mapInArrow(features, "doc_id long, toxic int, h binary, c binary, own binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     held = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int32)) for r in rows]
     full = Full([r.doc_id for r in rows], [r.toxic for r in rows], [h for h, _ in held], [c for _, c in held], chosen)
     held = {int(at): (held[at][0].copy(), held[at][1].copy()) for at in full.bare}
+    marked = [(r.doc_id, *np.frombuffer(r.own, np.int32).reshape(-1, 2).T.tolist(), r.toxic) for r in rows if len(r.own)]
     del rows
     vocabulary = docs.sparkSession.sparkContext.broadcast(full.vocabulary)
 
@@ -314,8 +303,11 @@ def full_index(docs: DataFrame, sample: DataFrame, chosen: list[str], n: int) ->
     if len(df):
         for r in docs.select(common.whole_text().alias("text")).mapInArrow(frequencies, "t long, times long").groupBy("t").agg(F.sum("times").alias("times")).toLocalIterator():
             df[r.t] = r.times
-    full.weigh(np.where(df > 0, np.log((n + 1) / np.maximum(df, 1)), 0.0))
-    return full, held
+    idf = np.where(df > 0, np.log((n + 1) / np.maximum(df, 1)), 0.0)
+    made = Hashes()
+    at, _ = full.places(np.array([made[w] for w in chosen], np.uint64))
+    full.weigh(idf)
+    return full, held, marked, idf[at]
 
 
 def isotonic(x: list[float], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -383,17 +375,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[str]]:
     common.tune(spark)
     sample = sample_of(labels)
     chosen = choose_terms(docs, sample)
-    counts = common.kept(term_counts(docs, chosen), "toxic-counts")
-    n = counts.count()
-    df = np.zeros(len(chosen))
-    for r in counts.select(F.explode("ids").alias("i")).groupBy("i").count().collect():
-        df[r["i"]] = r["count"]
-    idf = np.where(df > 0, np.log((n + 1) / np.maximum(df, 1)), 0.0)
-    known = counts.join(F.broadcast(sample), "doc_id")
-    examples = _one_text(known.where(F.size("ids") > 0), "text_hash").orderBy("doc_id").limit(SAMPLE).collect()
-    bare = {r.y: r.n for r in known.where(F.size("ids") == 0).groupBy((F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    common.drop_kept(counts)
-    return Model(idf, [(r.doc_id, r.ids, r.tfs, r.toxic) for r in examples], (bare.get(False, 0), bare.get(True, 0)), *full_index(docs, sample, chosen, n)), chosen
+    full, held, marked, idf = full_index(docs, sample, chosen, docs.count())
+    toxic = sum(int(full.labels[at] > 0) for at in full.bare)
+    return Model(idf, marked, (len(full.bare) - toxic, toxic), full, held), chosen
 
 
 SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>, text_hash long"
