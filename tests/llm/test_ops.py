@@ -515,10 +515,11 @@ def test_jaccard(spark, docs, empty):
 
 
 def test_rows_that_share_an_id_stay_for_themselves(spark):
+    # Row 8 shares three of four shingles with the second row 5.
     near, own = "one two three four five six seven", "quite another text of the same id"
     rows = [(3, near), (5, near), (5, own), (None, near), (None, "a nameless text of its own here"), (7, ""), (7, None), (8, own + " x"), (3, near)]
     kept = jaccard.one_of_each(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, doc int, `own` int")).collect()
-    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("3", near), ("5", own), ("None", "a nameless text of its own here"), ("7", ""), ("8", own + " x")])
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("3", near), ("5", own), ("None", "a nameless text of its own here"), ("7", "")])
 
 
 def test_many_near_copies_that_hardly_link(spark):
