@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontaminate, jaccard, lines, lm, media, packing, pii, ranked, sharding, token_counts, toxicity
+from . import centroids, decontaminate, jaccard, lines, lm, media, packing, pii, ranked, repeats, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_jaccard_join": jaccard.query,
     "op11_centroids": centroids.query,
+    "op12_repeats": repeats.query,
     "op13_ranked_search": ranked.query,
 }
 
