@@ -2,9 +2,9 @@
 
 Removes every byte covered by a string of 400 bytes that also starts anywhere else.
 
-1. Anchors. Of the 100-byte grams in every 400-byte window the one of least hash is an anchor
-   (the first of equals), so equal windows hold the same anchor at the same place. A window is
-   thereby a distance from an anchor to the left. Only anchors whose gram occurs again matter;
+1. Anchors. Of the 100-byte grams in every 400-byte window the one of least hash is its anchor
+   (the first of equals), so equal windows have the same anchor at the same place, and a window
+   is known by its distance to the left of it. Only anchors whose gram occurs again matter;
    counts by hash find them.
 2. Contexts. All windows at an anchor lie within 300 bytes before it and 400 after its start.
    Anchors with equal contexts are one class: with two members, all its windows are repeats.
@@ -15,7 +15,7 @@ Removes every byte covered by a string of 400 bytes that also starts anywhere el
    that byte, common prefixes by minima over what lay between. So the arrays of all 301 distances
    come one from another, for all grams of a task at once.
 4. Intervals. In each array a stack scan finds the intervals of common prefixes of 400 bytes or
-   more. An interval whose suffixes all have the same byte before them is part of a longer repeat, found one
+   more whose first window has this anchor, so no occurrence is elsewhere. An interval whose suffixes all have the same byte before them is part of a longer repeat, found one
    byte earlier; those with different bytes (or a text's start) are maximal repeats, and come
    out as groups with their length, the groups they lie in, and all occurrences.
 5. A gram with over 256 contexts is split before it is sorted: its windows are halved by distance,
@@ -56,10 +56,10 @@ CHUNK = 4096
 _POSITION = np.uint64((1 << 20) - 1)
 _BEFORE, _AFTER = b"\xff", b"\xfe"  # bytes that UTF-8 doesn't have
 
-ANCHOR = "doc long, own long, pos int, left int, room int, hash long, xa long, xb long"
-CONTEXT = "key long, half long, depth int, doc long, own long, at int, copies long, back binary, ahead binary"
+ANCHOR = "doc long, own long, pos int, near int, far int, left int, room int, hash long, xa long, xb long"
+CONTEXT = "key long, half long, depth int, doc long, own long, at int, near int, far int, copies long, back binary, ahead binary"
 GROUP = "id binary, length int, within array<binary>, docs array<long>, owns array<long>, starts array<int>, copies array<long>"
-_CONTEXT = pa.schema([("key", pa.int64()), ("half", pa.int64()), ("depth", pa.int32()), ("doc", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("copies", pa.int64()), ("back", pa.binary()), ("ahead", pa.binary())])
+_CONTEXT = pa.schema([("key", pa.int64()), ("half", pa.int64()), ("depth", pa.int32()), ("doc", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("near", pa.int32()), ("far", pa.int32()), ("copies", pa.int64()), ("back", pa.binary()), ("ahead", pa.binary())])
 _GROUP = pa.schema([("id", pa.binary()), ("length", pa.int32()), ("within", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("owns", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("copies", pa.list_(pa.int64()))])
 
 
@@ -93,21 +93,26 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], fore[width - 1 : n])
 
 
-def anchors_of(text: bytes, grams: Grams, length: int = LENGTH, gram: int = GRAM, slab: int = SLAB) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors, ascending, and the hashes of their grams."""
-    places, hashes = [], []
+def anchors_of(text: bytes, grams: Grams, length: int = LENGTH, gram: int = GRAM, slab: int = SLAB) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, ascending; the first and the last window of each; and the hashes of their grams."""
+    places, first, last, hashes = [], [], [], []
     for start in range(0, max(0, len(text) - length + 1), slab):
         data = np.frombuffer(text, np.uint8, min(len(text) - start, slab + length - 1), start)
         h = grams.hashes(data, gram)
         ranked = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
-        least = window_minima(ranked, length - gram + 1)
-        at = np.unique(least & _POSITION).astype(np.int64)
-        places.append(at + start)
-        hashes.append(h[at])
+        least = (window_minima(ranked, length - gram + 1) & _POSITION).astype(np.int64)
+        at, window, windows = np.unique(least, return_index=True, return_counts=True)
+        if places and places[-1][-1] == at[0] + start:  # an anchor with windows in two slabs
+            last[-1][-1] = start + windows[0] - 1
+            at, window, windows = at[1:], window[1:], windows[1:]
+        if len(at):
+            places.append(at + start)
+            first.append(window + start)
+            last.append(window + windows - 1 + start)
+            hashes.append(h[at])
     if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    return tuple(np.concatenate(x) for x in (places, first, last, hashes))
 
 
 _LAST = 2**63 - 1
@@ -128,22 +133,22 @@ def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             for doc, own, text in zip(*(b.column(c) for c in ("doc", "own", "text")), strict=True):
                 t = text.as_py()
-                at, h = anchors_of(t, grams, length, gram)
+                at, first, last, h = anchors_of(t, grams, length, gram)
                 n = len(at)
                 if n:
                     left, room = np.minimum(at, reach), np.minimum(len(t) - at, length)
                     x = b"".join(xxhash.xxh3_128_digest(t[p - a : p + z], a) for p, a, z in zip(at.tolist(), left.tolist(), room.tolist(), strict=True))
                     x = np.frombuffer(x, np.int64).reshape(-1, 2)
-                    cells = (np.full(n, doc.as_py()), np.full(n, own.as_py()), at.astype(np.int32), left.astype(np.int32), room.astype(np.int32), h.view(np.int64), x[:, 0], x[:, 1])
+                    cells = (np.full(n, doc.as_py()), np.full(n, own.as_py()), at.astype(np.int32), (at - last).astype(np.int32), (at - first).astype(np.int32), left.astype(np.int32), room.astype(np.int32), h.view(np.int64), x[:, 0], x[:, 1])
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=[c.split()[0] for c in ANCHOR.split(", ")])
 
     return keyed.select("doc", "own", "text").mapInArrow(run, ANCHOR)
 
 
 def contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The contexts of the wanted anchors (doc, own, hash, pos, copies), split at the anchor."""
+    """The contexts of the wanted anchors (doc, own, hash, pos, near, far, copies), split at the anchor."""
     reach = length - gram
-    lists = wanted.groupBy("doc", "own").agg(F.collect_list(F.struct("hash", "pos", "copies")).alias("wanted"))
+    lists = wanted.groupBy("doc", "own").agg(F.collect_list(F.struct("hash", "pos", "near", "far", "copies")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -153,7 +158,7 @@ def contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 if last == (last := (doc.as_py(), own.as_py())):
                     continue
                 t, rows = text.as_py(), places.as_py()
-                cells = [(r["hash"], 0, reach, *last, r["pos"], r["copies"], t[max(0, r["pos"] - reach - 1) : r["pos"]], t[r["pos"] : r["pos"] + length]) for r in rows]
+                cells = [(r["hash"], 0, reach, *last, r["pos"], r["near"], r["far"], r["copies"], t[max(0, r["pos"] - reach - 1) : r["pos"]], t[r["pos"] : r["pos"] + length]) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
 
     return keyed.select("doc", "own", "text").join(lists, ["doc", "own"]).mapInArrow(run, CONTEXT)
@@ -171,12 +176,12 @@ def halves(rows: DataFrame, length: int) -> DataFrame:
                 middle = r["depth"] // 2
                 for near, far in ((0, middle), (middle + 1, r["depth"])):
                     # A window at distance j lies in the text if length - len(ahead) <= j <= len(back).
-                    if near > len(r["back"]) or far < length - len(r["ahead"]):
+                    if near > len(r["back"]) or far < length - len(r["ahead"]) or near > r["far"] or far < r["near"]:
                         continue
                     whole, cut = r["back"] + r["ahead"], len(r["back"])
                     core = whole[cut - near : cut - far + length]
                     key, half = np.frombuffer(xxhash.xxh3_128_digest(core, (r["key"] ^ r["half"] ^ near) & (2**64 - 1)), np.int64).tolist()
-                    cells.append((key, half, far - near, r["doc"], r["own"], r["at"] - near, r["copies"], whole[max(0, cut - far - 1) : cut - near], whole[cut - near : cut - near + length]))
+                    cells.append((key, half, far - near, r["doc"], r["own"], r["at"] - near, r["near"] - near, r["far"] - near, r["copies"], whole[max(0, cut - far - 1) : cut - near], whole[cut - near : cut - near + length]))
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
 
@@ -242,11 +247,16 @@ def intervals(common_: list[int], before: list[int], least: int, edge: bool) ->
     return [tuple(x) for x in found]
 
 
-def repeats_of(back: list[bytes], ahead: list[bytes], bucket: np.ndarray, depth: int, length: int = LENGTH) -> Iterator[tuple[int, int, list[tuple[int, list[int], int]], np.ndarray]]:
-    """(distance, run's number, its groups, rows of its places): the maximal repeats of contexts that are sorted by bucket and what follows."""
+def repeats_of(back: list[bytes], ahead: list[bytes], near: list[int], far: list[int], bucket: np.ndarray, depth: int, length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, list[int], int]], np.ndarray]]:
+    """(distance, groups, rows of their places) of each run: the maximal repeats of contexts that are sorted by bucket and what follows.
+
+    Of a run's suffixes the first `length` bytes are the same, so they all have this anchor for
+    that window or none has; near and far are the distances between which they have.
+    """
     width = depth + 1
     before = np.frombuffer(b"".join(x[-width:].rjust(width, _BEFORE) for x in back), np.uint8).reshape(-1, width)
     reach = np.fromiter(map(len, back), np.int64, len(back))
+    near, far = np.array(near), np.array(far)
     order, shared = np.arange(len(back)), first_array(ahead, bucket, length)
     for distance in range(depth + 1):
         if len(order) < 2:
@@ -257,17 +267,18 @@ def repeats_of(back: list[bytes], ahead: list[bytes], bucket: np.ndarray, depth:
         if long.any():
             starts = np.flatnonzero(long & ~np.append(False, long[:-1])) - 1
             ends = np.flatnonzero(long & ~np.append(long[1:], False)) + 1
-            # Runs whose suffixes all have one byte before them go on whole.
             cuts = np.stack([starts, ends], axis=1).ravel()
             low, high = (f.reduceat(np.append(byte, 0), cuts)[::2] for f in (np.minimum, np.maximum))
-            odd = (low != high) | (low < 0)
-            for run in np.flatnonzero(odd) if distance < depth else range(len(starts)):
+            edge = np.full(len(starts), True) if distance == depth else far[order[starts]] == distance
+            # Runs whose suffixes all have one byte before them go on whole, but at the edge.
+            out = (near[order[starts]] <= distance) & (edge | (low != high) | (low < 0))
+            for run in np.flatnonzero(out):
                 a, b = starts[run], ends[run]
-                yield distance, int(run), intervals(shared[a + 1 : b].tolist(), byte[a:b].tolist(), length, distance == depth), order[a:b]
+                yield distance, intervals(shared[a + 1 : b].tolist(), byte[a:b].tolist(), length, bool(edge[run])), order[a:b]
         if distance == depth:
             return
         most = np.maximum(shared, np.append(shared[1:], 0))
-        stays = goes & (most + (depth - distance) >= length)
+        stays = goes & (far[order] > distance) & (most + (depth - distance) >= length)
         order, shared = earlier_array(order, shared, bucket[order] * 256 + np.maximum(byte, 0), stays)
 
 
@@ -277,7 +288,7 @@ def _chunk_groups(rows: dict[str, list], length: int) -> Iterator[tuple]:
     fresh = [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
     bucket = np.cumsum(fresh) - 1
     depth = rows["depth"][0]
-    for distance, run, groups, order in repeats_of(rows["back"], rows["ahead"], bucket, depth, length):
+    for distance, groups, order in repeats_of(rows["back"], rows["ahead"], rows["near"], rows["far"], bucket, depth, length):
         order = order.tolist()
         first = order[0]
         stem = b"".join(x.to_bytes(8, "big", signed=True) for x in keys[first]) + depth.to_bytes(2, "big") + distance.to_bytes(2, "big")
@@ -347,12 +358,12 @@ def groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     again = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     several = common.kept(every.join(again, "hash", "left_semi"), "repeated-anchors")
     common.drop_kept(every)
-    classes = common.kept(several.groupBy("hash", "xa", "xb").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "own", "pos")).alias("one")), "contexts")
+    classes = common.kept(several.groupBy("hash", "xa", "xb").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "own", "pos", "near", "far")).alias("one")), "contexts")
     copies = several.join(classes.where("copies > 1").select("hash", "xa", "xb"), ["hash", "xa", "xb"], "left_semi")
     whole = common.kept(copies.select("doc", "own", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("room")).alias("end")), "copied-spans")
     common.drop_kept(several)
     met = classes.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1").select("hash")
-    wanted = common.kept(classes.join(met, "hash", "left_semi").select("one.doc", "one.own", "hash", "one.pos", "copies"), "wanted")
+    wanted = common.kept(classes.join(met, "hash", "left_semi").select("one.doc", "one.own", "hash", "one.pos", "one.near", "one.far", "copies"), "wanted")
     common.drop_kept(classes)
     rows = common.kept(contexts(keyed, wanted, length, gram), "gram-contexts")
     common.drop_kept(wanted)
@@ -366,7 +377,7 @@ def groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
         found.append(common.kept(grouped(rows.join(hot, _GRAM, "left_anti"), length), "repeat-groups"))
         crowded = common.kept(rows.join(hot, _GRAM, "left_semi"), "hot-contexts")
         common.drop_kept(rows, hot)
-        found.append(common.kept(_counted(crowded.where("depth = 0"), length), "repeat-groups"))
+        found.append(common.kept(_counted(crowded.where("depth = 0 and near <= 0 and far >= 0"), length), "repeat-groups"))
         split = common.kept(halves(crowded.where("depth > 0"), length), "halved-contexts")
         common.drop_kept(crowded)
         rows = common.kept(split.join(_sizes(split).where("size > 1").drop("size"), _GRAM, "left_semi"), "gram-contexts")
