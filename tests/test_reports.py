@@ -56,6 +56,14 @@ def test_differences_of_a_pair(spark):
         ("Panto-", "Panto", "", "", [("REFLOW", "-", "")]),
         ("Net", "NET", "", "", [("CASE", "et", "ET")]),
         ("same", "same", "", "", []),
+        ("", "", "", "", []),
+        ("(866) 500-6286 AvoDerm.com", "(866) 500-6286 • AvoDerm.com", "", "", [("PUNCT", "", "·")]),
+        ("Fat 1.5 g", "Fat 1 5 g", "", "", [("NUMBER", ".", "")]),
+        ("Total 1,000 kg", "Total 1.000 kg", "", "", [("NUMBER", ",", ".")]),
+        ("a 1 • 2", "a 1 2", "", "", [("PUNCT", "·", "")]),
+        ("xaby", "zacw", "", "", [("TEXT", "xaby", "zacw")]),
+        ("xabcy", "zabcw", "", "", [("TEXT", "x", "z"), ("TEXT", "y", "w")]),
+        ("apple", "ample", "", "", [("TEXT", "p", "m")]),
     ]
     d = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, a string, b string, p string, q string")
     got = d.orderBy("i").select(text.pair_differences(F.col("a"), F.col("b"), F.col("p"), F.col("q")).alias("x")).collect()
@@ -69,5 +77,10 @@ def test_spans_and_moved_texts(spark):
     rows = [(1, 0, "TEXT", "salt", ""), (1, 1, "TEXT", "", "salt"), (1, 2, "TEXT", "fish", ""), (1, 3, "TEXT", "oil", "oilfish."), (1, 4, "TEXT", "x", ""), (1, 5, "TEXT", "", "x")]
     f = spark.createDataFrame(rows, "p int, i int, kind string, a string, b string")
     assert {r.i: r.kind for r in alignment.moved_texts(f, ["p"]).collect()} == {0: "MOVED", 1: "MOVED", 2: "MOVED", 3: "TEXT", 4: "TEXT", 5: "TEXT"}
+    rows = [(2, 0, "NUMBER", "oil", ""), (2, 1, "TEXT", "ab", "ab.oil"), (2, 2, "TEXT", "", "oiloil"), (2, 3, "TEXT", "--", ""), (2, 4, "TEXT", "", "--"), (3, 0, "TEXT", None, "oil"), (2, 5, "TEXT", "", "(salt)"), (2, 6, "TEXT", "salt", None)]
+    f = spark.createDataFrame(rows, "p int, i int, kind string, a string, b string")
+    got = {(r.p, r.i): r.kind for r in alignment.moved_texts(f, ["p"]).collect()}
+    # oil is in 1 first, where ab. is left against ab; oiloil is nowhere; salt leaves only marks in 5.
+    assert got == {(2, 0): "MOVED", (2, 1): "TEXT", (2, 2): "TEXT", (2, 3): "TEXT", (2, 4): "TEXT", (2, 5): "PUNCT", (2, 6): "MOVED", (3, 0): "TEXT"}
     lines = spark.createDataFrame([(1, "a", 0, "made in the north of spain"), (1, "a", 1, "nothing like it"), (1, "b", 0, "was made in the north"), (1, "b", 1, "left over")], "g int, side string, i int, line string")
     assert {(r.found, r.reference) for r in alignment.cross_extras(lines, ["g"]).collect()} == {("made in the north of spain", "was made in the north"), ("nothing like it", None), (None, "left over")}
