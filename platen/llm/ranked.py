@@ -4,16 +4,17 @@ One pass over the texts counts the query terms of each document; the postings be
 that is partitioned and sorted by term and falling impact, so a list's head and all that is above
 a threshold are found by the statistics of its files. Hot terms span many partitions. For each query:
 
-1. Heads: the first k postings of each of its lists give partial sums; their kth largest is a
-   lower bound of the kth best score.
-2. Threshold: from every list, all postings that bring at least that bound divided by the number
-   of lists. A document that was fetched from no list can't reach the bound. Partial sums give a
-   new bound, and each document's sum plus what unseen lists can still bring an upper one.
-3. Look-up: documents whose upper bound reaches the new bound get their exact scores from their
-   own term counts.
+1. Heads: the first k postings of each list name documents, whose scores are looked up; the kth
+   largest is a lower bound of a query's kth best score, far above that of partial sums.
+2. Threshold: from every list of a query, all postings that bring at least the query's threshold:
+   the greatest one for which lists, each cut at the threshold or at its own head, can't reach the
+   bound together. So a document that was fetched from no list is out. A fetched one stays a
+   candidate if its partial sum and what unseen lists can still bring reach the bound.
+3. Look-up: candidates get their exact scores from their own term counts, for all queries at once.
 
 Everything is an integer, so bounds are exact: a posting's part of a score is (times of the term in
-the query) * w * impact, and what an unseen list brings is below its threshold.
+the query) * w * impact. A round's lists (query, term, weight) are arrays that tasks look up; Spark
+partitions postings, partial sums by document, and look-ups.
 
 Queries are held by every task, so they are taken in rounds of a bounded number of terms.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ from . import common
 TOP = 10
 #: Terms of the queries of a round, repeats included; this bounds what every task holds.
 ROUND_TERMS = 200_000
+#: Lists that weren't fetched may bring the bound's SHARE-th part together: 1 fetches least, more leaves fewer candidates.
+SHARE = 4
 #: Bytes outside terms become blanks, A-Z their small letters.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 
@@ -47,17 +51,17 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def rounds(items: DataFrame, most: int = ROUND_TERMS) -> Iterator[list[tuple[int, object, dict[bytes, int]]]]:
-    """(query number, item_id, terms with their times) of each query that has terms; a round's terms are at most `most`, but for a longer single query."""
+def rounds(items: DataFrame, most: int = ROUND_TERMS) -> Iterator[list[tuple[object, dict[bytes, int]]]]:
+    """(item_id, terms with their times) of each query that has terms; a round's terms are at most `most`, but for a longer single query."""
     now, size = [], 0
-    for number, r in enumerate(items.select("item_id", common.whole_text().cast("binary").alias("text")).orderBy("item_id", "text").toLocalIterator()):
+    for r in items.select("item_id", common.whole_text().cast("binary").alias("text")).orderBy("item_id", "text").toLocalIterator():
         times = Counter(terms(bytes(r.text)))
         if not times:
             continue
         if now and size + len(times) > most:
             yield now
             now, size = [], 0
-        now.append((number, r.item_id, times))
+        now.append((r.item_id, times))
         size += len(times)
     if now:
         yield now
@@ -106,37 +110,152 @@ def postings(vectors: DataFrame, weighted: DataFrame, documents: int, all_terms:
     return common.kept(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "postings")
 
 
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """q, bound: the kth largest sum of each query; none where it has fewer."""
-    row = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "rid"))
-    return sums.withColumn("row", row).where(F.col("row") <= k).groupBy("q").agg(F.max("row").alias("rows"), F.min("s").alias("bound")).where(F.col("rows") == k).select("q", "bound")
+class Lists:
+    """The lists of a round's queries by term: entries first[t] to first[t + 1] hold queries and weights (times * w)."""
+
+    def __init__(self, entries: list[tuple[int, int, int]], queries: int, all_terms: int):
+        term, query, weight = np.array(sorted(entries), np.int64).reshape(-1, 3).T
+        self.term, self.query, self.weight, self.queries = term, query, weight, queries
+        self.first = np.searchsorted(term, np.arange(all_terms + 1))
+
+    def met(self, terms_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in terms_, entry) of each entry of each term."""
+        low, times = self.first[terms_], self.first[terms_ + 1] - self.first[terms_]
+        place = np.repeat(np.arange(len(terms_)), times)
+        return place, np.arange(len(place)) - np.repeat(np.cumsum(times) - times - low, times)
+
+    def thresholds(self, bounds: np.ndarray, heads: np.ndarray) -> None:
+        """bounds: by query; heads: the greatest impact by term. Sets threshold by query, and by entry what an unseen posting brings at most."""
+        self.bounds, self.threshold = bounds, np.zeros(self.queries, np.int64)
+        most = self.weight * heads[self.term]
+        by = np.lexsort((most, self.query))
+        for entries in np.split(by, np.flatnonzero(np.diff(self.query[by])) + 1):
+            if len(entries) and (bound := int(bounds[self.query[entries[0]]])):
+                # With the i least lists at their heads, the others may bring (bound - 1 - sum) div (how many) each.
+                tops = most[entries].tolist()
+                left, n = (bound - 1) // SHARE, len(tops)
+                for i, top in enumerate(tops):
+                    if top * (n - i) > left:
+                        break
+                    left -= top
+                else:
+                    i, left = n - 1, tops[-1]
+                self.threshold[self.query[entries[0]]] = left // (n - i) + 1
+        self.unseen = np.minimum(most, np.maximum(self.threshold[self.query] - 1, 0))
+        self.all_unseen = np.zeros(self.queries, np.int64)
+        np.add.at(self.all_unseen, self.query, self.unseen)
+
+    def floors(self, all_terms: int) -> np.ndarray:
+        """By term, the least impact that any of its queries asks for; above all impacts where none has the term."""
+        out = np.full(all_terms, np.iinfo(np.int64).max)
+        np.minimum.at(out, self.term, -(-self.threshold[self.query] // self.weight))
+        return out
+
+    def summed(self, row: np.ndarray, query: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """row, query and sums of the values for each pair of them."""
+        key = row * self.queries + query
+        by = np.argsort(key, kind="stable")
+        key, first = np.unique(key[by], return_index=True)
+        return key // self.queries, key % self.queries, *(np.add.reduceat(v[by], first) if len(by) else v for v in values)
+
+
+def exact(vectors: DataFrame, lists: Lists, documents: int, all_terms: int, k: int, bounds: np.ndarray | None = None) -> DataFrame:
+    """q, rid, doc_id, s: scores above 0 of the documents for all queries; with bounds, those that reach them, else the k best of a task."""
+    kind = vectors.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("doc_id", kind), T.StructField("s", T.LongType())])
+    least = np.maximum(bounds, 1) if bounds is not None else np.ones(lists.queries, np.int64)
+
+    def scored(b: pa.RecordBatch) -> pa.Table:
+        held = b.column("held")
+        n, sizes = b.column("n").to_numpy(), np.diff(held.offsets.to_numpy())
+        term, tf = (held.flatten().field(c).to_numpy().astype(np.int64) for c in ("term", "tf"))
+        row = np.repeat(np.arange(b.num_rows), sizes)
+        impacts = 1_000_000_000 * tf // (1000 * tf + 8 * (25 + 75 * n[row] * documents // all_terms))
+        place, entry = lists.met(term)
+        row, query, s = lists.summed(row[place], lists.query[entry], impacts[place] * lists.weight[entry])
+        good = s >= least[query]
+        at = pa.array(row[good])
+        return pa.table({"q": query[good], "rid": b.column("rid").take(at), "doc_id": b.column("doc_id").take(at), "s": s[good]})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ = None
+        for b in batches:
+            if b.num_rows:
+                found = scored(b)
+                if bounds is not None:
+                    yield from found.to_batches()
+                    continue
+                best_ = found if best_ is None else pa.concat_tables([best_, found])
+                by = np.lexsort((-best_.column("s").to_numpy(), q := best_.column("q").to_numpy()))
+                q = q[by]
+                best_ = best_.take(pa.array(by[np.arange(len(q)) - np.searchsorted(q, q) < k]))
+        if best_ is not None:
+            yield from best_.to_batches()
+
+    return vectors.select("rid", "doc_id", "n", "held").mapInArrow(run, schema)
+
+
+#: Fetched postings that a task sums at once.
+CHUNK = 50_000
+
+
+def candidates(fetched: DataFrame, lists: Lists) -> DataFrame:
+    """rid: the documents that may reach the bound of some query, by their partial sums. fetched: rid, term, impact."""
+
+    def reach(held: pa.Table) -> pa.Table:
+        rid, term, impacts = (held.column(c).to_numpy() for c in ("rid", "term", "impact"))
+        row = np.cumsum(np.append(0, rid[1:] != rid[:-1]))
+        place, entry = lists.met(term.astype(np.int64))
+        query, part = lists.query[entry], impacts[place] * lists.weight[entry]
+        taken = part >= lists.threshold[query]
+        place, entry, query, part = place[taken], entry[taken], query[taken], part[taken]
+        row, query, s, seen = lists.summed(row[place], query, part, lists.unseen[entry])
+        good = s + lists.all_unseen[query] - seen >= lists.bounds[query]
+        ids = rid[np.unique(np.append(0, np.flatnonzero(rid[1:] != rid[:-1]) + 1))]
+        return pa.table({"rid": ids[np.unique(row[good])]})
 
-def best(vectors: DataFrame, lists: DataFrame, listed: DataFrame, documents: int, all_terms: int, k: int = TOP) -> DataFrame:
-    """q, rank, doc_id, score. lists: q, term, weight (times * w), as long as a round's queries allow; listed: the postings."""
-    lists = F.broadcast(lists)
-    part = F.col("weight") * F.col("impact")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= CHUNK:
+                whole = pa.Table.from_batches(held)
+                rid = whole.column("rid").to_numpy()
+                cut = int(np.searchsorted(rid, rid[-1]))  # the last document may go on
+                if cut:
+                    yield from reach(whole.slice(0, cut)).to_batches()
+                held = whole.slice(cut).to_batches()
+                size = len(rid) - cut
+        if size:
+            yield from reach(pa.Table.from_batches(held)).to_batches()
+
+    return fetched.repartition("rid").sortWithinPartitions("rid").mapInArrow(run, "rid long")
+
+
+def best(vectors: DataFrame, lists: Lists, listed: DataFrame, documents: int, all_terms: int, k: int = TOP) -> DataFrame:
+    """q, rank, doc_id, score. listed: the postings."""
+    spark = vectors.sparkSession
+    size = len(lists.first) - 1
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.col("impact").desc(), "rid"))
     heads = common.kept(listed.withColumn("place", place).where(F.col("place") <= k).select("term", "impact", "rid"), "heads")
-    first = _kth(heads.join(lists, "term").groupBy("q", "rid").agg(F.sum(part).alias("s")), k)
-    each = lists.groupBy("q").agg(F.count("*").alias("lists"))
-    # Integers: lists * part >= bound, so a posting that isn't fetched brings part <= (bound - 1) div lists.
-    bounds = each.join(F.broadcast(first), "q", "left").select("q", F.expr("(coalesce(bound, 0) + lists - 1) div lists").alias("threshold"))
-    cut = lists.join(F.broadcast(bounds), "q").select("q", "term", "weight", F.expr("(threshold + weight - 1) div weight").alias("least"), F.expr("greatest(threshold - 1, 0)").alias("unseen"))
-    cut = common.kept(cut, "thresholds")
-    floor = cut.groupBy("term").agg(F.min("least").alias("floor"))
-    above = listed.join(F.broadcast(floor), "term").where("impact >= floor").select("term", "impact", "rid")
-    fetched = above.join(F.broadcast(cut), "term").where("impact >= least")
-    sums = common.kept(fetched.groupBy("q", "rid").agg(F.sum(part).alias("s"), F.sum("unseen").alias("seen")), "partial-sums")
-    total = cut.groupBy("q").agg(F.sum("unseen").alias("all_unseen"))
-    second = total.join(F.broadcast(_kth(sums, k)), "q", "left").select("q", "all_unseen", F.coalesce("bound", F.lit(0)).alias("bound"))
-    candidates = common.kept(sums.join(F.broadcast(second), "q").where("s + all_unseen - seen >= bound").groupBy("rid").agg(F.collect_list("q").alias("qs")), "candidates")
-    looked = vectors.join(candidates, "rid").select("rid", "doc_id", "n", F.explode("qs").alias("q"), "held").select("rid", "doc_id", "n", "q", F.explode("held").alias("x"))
-    looked = looked.select("rid", "doc_id", "q", "n", "x.term", F.col("x.tf").cast("long").alias("tf")).join(lists, ["q", "term"])
-    scores = looked.withColumn("impact", impact(documents, all_terms)).groupBy("q", "rid").agg(F.first("doc_id").alias("doc_id"), F.sum(part).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "rid"))
-    out = common.kept(scores.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "doc_id", "score"), "ranked")
-    common.drop_kept(heads, cut, sums, candidates)
+    named = vectors.join(heads.select("rid").distinct(), "rid", "left_semi")
+    row = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "rid"))
+    first = exact(named, lists, documents, all_terms, k).withColumn("row", row).where(F.col("row") <= k).groupBy("q").agg(F.count("*").alias("rows"), F.min("s").alias("s"))
+    # A number for each query and for each term of the round.
+    bounds, tops = np.zeros(lists.queries, np.int64), np.zeros(size, np.int64)
+    for r in first.where(F.col("rows") == k).collect():
+        bounds[r.q] = r.s
+    for r in heads.groupBy("term").agg(F.max("impact").alias("impact")).collect():
+        tops[r.term] = r.impact
+    lists.thresholds(bounds, tops)
+    floors = spark.createDataFrame([(t, int(f)) for t, f in enumerate(lists.floors(size)) if f <= tops[t]], "term int, floor long")
+    fetched = listed.join(F.broadcast(floors), "term").where("impact >= floor").select("rid", "term", "impact")
+    reaching = common.kept(candidates(fetched, lists), "candidates")
+    scores = exact(vectors.join(reaching, "rid", "left_semi"), lists, documents, all_terms, k, bounds)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), F.col("doc_id").asc_nulls_last(), "rid"))
+    out = common.kept(scores.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "doc_id", F.col("s").alias("score")), "ranked")
+    common.drop_kept(heads, reaching)
     return out
 
 
@@ -148,19 +267,20 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, most: int = ROUND_TE
     kinds = T.StructType([T.StructField("item_id", ids), T.StructField("rank", T.IntegerType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.LongType())])
     found = []
     for queries in rounds(items, most):
-        numbers = {t: i for i, t in enumerate(dict.fromkeys(t for _, _, times in queries for t in times))}
+        numbers = {t: i for i, t in enumerate(dict.fromkeys(t for _, times in queries for t in times))}
         vectors = counted(docs, numbers)
         documents, all_terms = vectors.agg(F.count("*"), F.sum("n")).first()
         if not documents:
             break
         weighted = common.kept(weights(vectors, documents), "weights")
-        pairs = spark.createDataFrame([(q, numbers[t], c) for q, _, times in queries for t, c in times.items()], "q long, term int, times long")
-        lists = common.kept(pairs.join(F.broadcast(weighted), "term").select("q", "term", (F.col("times") * F.col("w")).alias("weight")), "lists")
+        w = dict(weighted.collect())  # one number for each term of the round
+        entries = [(numbers[t], q, c * w[numbers[t]]) for q, (_, times) in enumerate(queries) for t, c in times.items() if numbers[t] in w]
+        lists = Lists(entries, len(queries), len(numbers))
         listed = postings(vectors, weighted, documents, all_terms)
-        names = spark.createDataFrame([(q, i) for q, i, _ in queries], T.StructType([T.StructField("q", T.LongType()), T.StructField("item_id", ids)]))
+        names = spark.createDataFrame([(q, i) for q, (i, _) in enumerate(queries)], T.StructType([T.StructField("q", T.LongType()), T.StructField("item_id", ids)]))
         ranked = best(vectors, lists, listed, documents, all_terms, k)
         found.append(ranked.join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score"))
-        common.drop_kept(vectors, weighted, lists, listed)
+        common.drop_kept(vectors, weighted, listed)
         common.sweep(spark)
     return common.union(found) if found else spark.createDataFrame([], kinds)
 
