@@ -19,8 +19,9 @@ Removes every byte covered by a string of 400 bytes that also starts anywhere el
    byte earlier; those with different bytes (or a text's start) are maximal repeats, and come
    out as groups with their length, the groups they lie in, and all occurrences.
 5. A gram with over 256 contexts is split before it is sorted: its windows are halved by distance,
-   and each half is grouped by the longer string that all its windows share, until groups are
-   small or hold one window, whose count decides. No task holds a hot gram whole.
+   and each half is grouped by the longer string that all its windows share. A half needs less
+   context, so more contexts are equal: they are classes again, counted, and one of each goes on, until groups
+   are small. A half of one window is one class. No task holds a hot gram whole.
 
 A repeat is followed as far as its anchor's context; a longer one comes as groups that overlap,
 one or more an anchor, whose union is exact. Contexts are compared byte by byte but for equal
@@ -59,7 +60,9 @@ _BEFORE, _AFTER = b"\xff", b"\xfe"  # bytes that UTF-8 doesn't have
 ANCHOR = "doc long, own long, pos int, near int, far int, left int, room int, hash long, xa long, xb long"
 CONTEXT = "key long, half long, depth int, doc long, own long, at int, near int, far int, copies long, back binary, ahead binary"
 GROUP = "id binary, length int, within array<binary>, docs array<long>, owns array<long>, starts array<int>, copies array<long>"
+HALF = f"{CONTEXT}, xa long, xb long, start int, end int"
 _CONTEXT = pa.schema([("key", pa.int64()), ("half", pa.int64()), ("depth", pa.int32()), ("doc", pa.int64()), ("own", pa.int64()), ("at", pa.int32()), ("near", pa.int32()), ("far", pa.int32()), ("copies", pa.int64()), ("back", pa.binary()), ("ahead", pa.binary())])
+_HALF = pa.schema([*_CONTEXT, ("xa", pa.int64()), ("xb", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _GROUP = pa.schema([("id", pa.binary()), ("length", pa.int32()), ("within", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("owns", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("copies", pa.list_(pa.int64()))])
 
 
@@ -165,27 +168,32 @@ def contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
 
 
 def halves(rows: DataFrame, length: int) -> DataFrame:
-    """Each context twice: its windows of smaller and of greater distance, under the hash of the string that all windows of a half share."""
+    """Each context twice: its windows of smaller and of greater distance, under the hash of the string that all windows of a half share, with the hash and the place of the context that the half needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        two = lambda data, seed: np.frombuffer(xxhash.xxh3_128_digest(data, seed & (2**64 - 1)), np.int64).tolist()
         for b in batches:
             cells = []
             for r in b.to_pylist():
                 middle = r["depth"] // 2
+                whole, cut = r["back"] + r["ahead"], len(r["back"])
                 for near, far in ((0, middle), (middle + 1, r["depth"])):
                     # A window at distance j lies in the text if length - len(ahead) <= j <= len(back).
-                    if near > len(r["back"]) or far < length - len(r["ahead"]) or near > r["far"] or far < r["near"]:
+                    if near > cut or far < length - len(r["ahead"]) or near > r["far"] or far < r["near"]:
                         continue
-                    whole, cut = r["back"] + r["ahead"], len(r["back"])
                     core = whole[cut - near : cut - far + length]
-                    key, half = np.frombuffer(xxhash.xxh3_128_digest(core, (r["key"] ^ r["half"] ^ near) & (2**64 - 1)), np.int64).tolist()
-                    cells.append((key, half, far - near, r["doc"], r["own"], r["at"] - near, r["near"] - near, r["far"] - near, r["copies"], whole[max(0, cut - far - 1) : cut - near], whole[cut - near : cut - near + length]))
+                    key, half = two(core, r["key"] ^ r["half"] ^ near)
+                    low, at = max(0, cut - far), cut - near
+                    needed = whole[low : at + length]
+                    xa, xb = two(needed, at - low)
+                    start = r["at"] - near - (at - low)
+                    cells.append((key, half, far - near, r["doc"], r["own"], r["at"] - near, r["near"] - near, r["far"] - near, r["copies"], whole[max(0, low - 1) : at], whole[at : at + length], xa, xb, start, start + len(needed)))
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cells, strict=True), _HALF, strict=True)], schema=_HALF)
 
-    return rows.mapInArrow(run, CONTEXT)
+    return rows.mapInArrow(run, HALF)
 
 
 def first_array(ahead: list[bytes], bucket: np.ndarray, length: int) -> np.ndarray:
@@ -355,39 +363,39 @@ def groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     common.tune(spark)
     keyed = _keyed(docs)
     every = common.kept(anchors(keyed, length, gram), "anchors")
-    again = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # Tables of their own, so that adaptive execution can split a hot gram's join.
+    again = common.kept(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-grams")
     several = common.kept(every.join(again, "hash", "left_semi"), "repeated-anchors")
-    common.drop_kept(every)
+    common.drop_kept(every, again)
     classes = common.kept(several.groupBy("hash", "xa", "xb").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "own", "pos", "near", "far")).alias("one")), "contexts")
     copies = several.join(classes.where("copies > 1").select("hash", "xa", "xb"), ["hash", "xa", "xb"], "left_semi")
     whole = common.kept(copies.select("doc", "own", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("room")).alias("end")), "copied-spans")
     common.drop_kept(several)
-    met = classes.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1").select("hash")
+    met = common.kept(classes.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1").select("hash"), "met-grams")
     wanted = common.kept(classes.join(met, "hash", "left_semi").select("one.doc", "one.own", "hash", "one.pos", "one.near", "one.far", "copies"), "wanted")
-    common.drop_kept(classes)
+    common.drop_kept(classes, met)
     rows = common.kept(contexts(keyed, wanted, length, gram), "gram-contexts")
     common.drop_kept(wanted)
-    found = []
+    found, spans = [], [whole]
     while True:
         hot = common.kept(_sizes(rows).where(F.col("size") > most).select(*_GRAM), "hot-grams")
         if hot.isEmpty():
             found.append(common.kept(grouped(rows, length), "repeat-groups"))
             common.drop_kept(rows, hot)
-            return common.union(found), whole
+            return common.union(found), common.union(spans)
         found.append(common.kept(grouped(rows.join(hot, _GRAM, "left_anti"), length), "repeat-groups"))
         crowded = common.kept(rows.join(hot, _GRAM, "left_semi"), "hot-contexts")
         common.drop_kept(rows, hot)
-        found.append(common.kept(_counted(crowded.where("depth = 0 and near <= 0 and far >= 0"), length), "repeat-groups"))
-        split = common.kept(halves(crowded.where("depth > 0"), length), "halved-contexts")
+        split = common.kept(halves(crowded, length), "halved-contexts")
         common.drop_kept(crowded)
-        rows = common.kept(split.join(_sizes(split).where("size > 1").drop("size"), _GRAM, "left_semi"), "gram-contexts")
-        common.drop_kept(split)
-
-
-def _counted(rows: DataFrame, length: int) -> DataFrame:
-    """Groups of grams that hold one window: rows of an occurrence each, under the window's id."""
-    one = lambda c: F.array(c)
-    return rows.select(F.encode(F.concat_ws(":", "key", "half"), "utf-8").alias("id"), F.lit(length).alias("length"), F.array().cast("array<binary>").alias("within"), one("doc").alias("docs"), one("own").alias("owns"), one("at").alias("starts"), one("copies").alias("copies"))
+        equal = [*_GRAM, "xa", "xb"]
+        classes = common.kept(split.groupBy(*equal).agg(F.count("*").alias("members"), F.sum("copies").alias("all_copies"), F.min(F.struct("doc", "own", "at")).alias("one")), "half-classes")
+        spans.append(common.kept(split.join(classes.where("members > 1").select(*equal), equal, "left_semi").select("doc", "own", "start", "end"), "copied-spans"))
+        sizes = common.kept(_sizes(classes).where("size > 1").select(*_GRAM), "met-grams")
+        ones = common.kept(classes.join(sizes, _GRAM, "left_semi").select(*equal, "one.*", "all_copies"), "half-ones")
+        kept = split.join(ones, [*equal, "doc", "own", "at"]).withColumn("copies", F.col("all_copies"))
+        rows = common.kept(kept.select(*[f.name for f in _CONTEXT]), "gram-contexts")
+        common.drop_kept(split, classes, sizes, ones)
 
 
 def occurrences(found: DataFrame) -> DataFrame:
