@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return add
 
 
-from platen.plans import access, blocks, events, groups, lines, numbers, records, reports, shapes  # noqa: E402, F401
+from platen.plans import access, blocks, events, groups, labels, lines, numbers, records, reports, shapes  # noqa: E402, F401
