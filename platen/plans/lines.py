@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platen.catalogue import Tables, query
 from platen.functions import text
+from platen.operators import nearest
 from platen.session import ship
 
 _WORDS = "select source, doc_id, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')) as w from documents where lang = 'en'"
@@ -82,24 +83,22 @@ def field_compare(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", d.cast("bigint").alias("distance"), text.field_severity(d, F.lit(False), a == b).alias("severity"), F.round(text.similarity(a, b), 9).alias("similarity"))
 
 
-@query("with i as (select item_id, upper(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9]', '', 'g')) as k from benchmark) select a.item_id, arg_min(b.item_id, levenshtein(a.k, b.k) * 1000000 + b.item_id) as nearest, min(levenshtein(a.k, b.k)) as distance from i a join i b on left(a.k, 2) = left(b.k, 2) and a.item_id <> b.item_id group by 1")
+@query("with i as (select item_id, upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) as k from benchmark) select a.item_id, arg_min(b.item_id, levenshtein(a.k, b.k) * 1000000 + b.item_id) as nearest, min(levenshtein(a.k, b.k)) as distance from i a join i b on a.item_id <> b.item_id group by 1")
 def benchmark_nearest_line(t: Tables) -> DataFrame:
-    """Nearest other item, by the first 40 characters, among those that begin alike: an equi-join, not all pairs. benchmark_nearest_document_line compares whole items with all lines."""
-    i = t.benchmark.select("item_id", F.upper(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z0-9]", "")).alias("k")).withColumn("b", F.left("k", F.lit(2)))
-    j = i.select(F.col("item_id").alias("other"), F.col("k").alias("kk"), "b")
-    d = F.levenshtein("k", "kk")
-    return i.join(j, "b").where("item_id != other").groupBy("item_id").agg(F.min_by("other", F.struct(d, "other")).alias("nearest"), F.min(d).cast("bigint").alias("distance"))
+    """Each whole item's nearest other item, by letters and digits; of equal ones the first."""
+    k = F.upper(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
+    near = nearest.nearest_texts(t.benchmark.select(F.col("item_id").alias("q"), k.alias("k")), t.benchmark.select(F.col("item_id").alias("at"), k.alias("kk")), others=True)
+    return near.select(F.col("q").alias("item_id"), F.col("at").alias("nearest"), F.col("distance").cast("bigint").alias("distance"))
 
 
 @query()
 def benchmark_nearest_document_line(t: Tables) -> DataFrame:
-    """Each whole item's nearest line of all documents; of equal ones the first by document, then place. Each item is compared with every distinct line, so the work is items times lines."""
+    """Each whole item's nearest line of all documents; of equal ones the first by document, then place."""
     ship(t.spark)
     items = t.benchmark.select("item_id", text.key(F.col("text")).alias("k")).where("k != ''")
     lines = _lines(t).select("doc_id", "pos", text.key(F.col("line")).alias("kk")).where("kk != ''").groupBy("kk").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    d = items.select("k").distinct().join(lines).select("k", "at", F.levenshtein("k", "kk").alias("d"))
-    best = d.groupBy("k").agg(F.min(F.struct("d", "at")).alias("x"))
-    return items.join(best, "k").select("item_id", F.col("x.at.doc_id").alias("doc_id"), F.col("x.at.pos").alias("pos"), F.col("x.d").cast("bigint").alias("distance"))
+    near = nearest.nearest_texts(items.select(F.col("item_id").alias("q"), "k"), lines.persist())
+    return near.select(F.col("q").alias("item_id"), F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), F.col("distance").cast("bigint").alias("distance"))
 
 
 @query("select item_id, contains(upper(regexp_replace(text, '\\s+', ' ', 'g')), 'THE') as has from benchmark")
