@@ -1,18 +1,20 @@
 """Toxicity from the nearest labelled examples.
 
-1. A bounded sample of labelled training rows picks the terms that mark toxic texts (chi-square).
-2. Document frequencies of all terms of the sample are counted over all texts. Scores are made in a scan of the texts, so nothing is shuffled.
-3. The sample's rows become a block-max inverted index of TF-IDF unit vectors. A text's nearest
-   examples by cosine are exact: blocks are scored in the order of their bound until no bound
-   reaches the last neighbour kept; equal cosines go by the example's place.
-4. Neighbours vote by closeness; isotonic regression over the sample, each example without
-   itself, turns votes into probabilities.
-5. A text without any chosen term is searched exactly among the sample's full vectors: all terms
-   that the sample has, document frequencies over all rows. Its votes have their own isotonic
-   fit, over the examples without a chosen term. Without a neighbour it gets the rate of those.
-   Its evidence is given where one of the nearest three is toxic.
-
-Defined cases: null or empty text has no terms and gets that rate; null labels and labels of
+1. Examples are a bounded sample of labelled training rows, with all their terms: words,
+   beginnings of long words, runs of marks. Document frequencies of these terms are counted over all texts.
+2. A term weighs (1 + ln tf) * idf * how much likelier toxic examples have it than others
+   (smoothed), so what tells the labels apart counts most and nothing is left out. A term that no example has weighs as the
+   rarest of theirs; it lengthens the vector. All texts are compared in this one space.
+3. Unit vectors make an inverted index. Examples are in blocks of 64, like ones together. Lists of rare
+   terms are summed whole; what frequent terms can add to a block is bounded by their greatest weights in it,
+   and only blocks whose bound reaches the kth best cosine are summed further. The nearest
+   examples are exact; equal cosines go by the example's place.
+4. Neighbours of both labels vote by closeness; isotonic regression over the examples, each without itself, turns
+   votes into probabilities. Without a neighbour a text gets the rate of the examples. The nearest three are its evidence.
+
+Scores are made in a scan of the texts, so nothing is shuffled but term counts.
+
+Defined cases: null or empty text has no terms and gets the rate; null labels and labels of
 unknown documents are ignored; without training labels every score is 0; of several labels of a
 document the highest holds; of several texts of a labelled document the one of least hash is the
 example; repeated rows are scored each; extra columns are ignored.
@@ -32,13 +34,15 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled training rows that are used at most, the first by a hash; it bounds what the driver holds and broadcasts.
-SAMPLE = 8_000
-#: Terms at most, and what a term must show: rows, chi-square, and its rate in toxic rows over that in the others.
-TERMS, LEAST_ROWS, LEAST_CHI, LEAST_LIFT = 2048, 8, 40.0, 8.0
+SAMPLE = 5_000
+#: Rows that are added to a term's counts, shared as the labels are.
+SMOOTHING = 4.0
 NEIGHBOURS = 15
-#: Texts that are compared with the full vectors at once.
-TOGETHER = 64
 BLOCK = 64
+#: Terms that more than one in so many examples has are frequent.
+FREQUENT = 16
+#: Blocks that are summed before the others' bounds are tested again.
+FIRST = 8
 
 _words = re.compile(r"[^\W_]+|[^\w\s]{2,}").findall
 
@@ -61,107 +65,10 @@ def sample_of(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
 
-def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        rows = [0, 0]
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                y = int(toxic > 0)
-                rows[y] += 1
-                found[y].update(set(terms(text)))
-        found[0][""], found[1][""] = rows
-        names = list(found[0].keys() | found[1].keys())
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([found[0][w] for w in part], pa.int64()), pa.array([found[1][w] for w in part], pa.int64())], names=["term", "clean", "toxic"])
-
-    counts = docs.join(F.broadcast(sample), "doc_id").select(common.whole_text().alias("text"), "toxic").mapInArrow(count, "term string, clean long, toxic long")
-    counts = common.kept(counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-terms")
-    total = counts.where("term = ''").first()
-    if total is None or not total.clean or not total.toxic:
-        return []
-    n, p, q = F.lit(float(total.clean + total.toxic)), F.col("toxic").cast("double"), F.col("clean").cast("double")
-    P, Q = F.lit(float(total.toxic)), F.lit(float(total.clean))
-    cross = p * (Q - q) - q * (P - p)
-    chi = n * cross * cross / ((p + q) * (n - p - q) * P * Q)
-    good = counts.where(f"term != '' and toxic >= {LEAST_ROWS}").where(p / P >= LEAST_LIFT * (q + 0.5) / Q).where(chi >= LEAST_CHI)
-    return [r.term for r in good.orderBy(chi.desc(), "term").limit(TERMS).collect()]
-
-
-def chosen_counts(chosen: list[str]):
-    """A function from a text to the places and counts of its chosen terms, in order."""
-    place = {w: i for i, w in enumerate(chosen)}
-    short = {w for w in place if not w.endswith("*")}
-    long = {w[:-1] for w in place if w.endswith("*") and len(w) == 6}
-
-    def count(text: str) -> list[tuple[int, int]]:
-        words = _words(text.lower())
-        c = Counter(filter(short.__contains__, words))
-        for w in words:
-            if w[:5] in long and len(w) > 5:
-                c[w[:5] + "*"] += 1
-        return sorted((place[w], n) for w, n in c.items())
-
-    return count
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", common.whole_text().alias("text"), F.xxhash64(common.whole_text()).alias("text_hash"))
 
 
-class BlockMax:
-    """Inverted lists over unit vectors, with the greatest weight of each term in each block of examples."""
-
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], names: list[int]):
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), names[i]))
-        self.labels = np.array([labels[i] for i in order], np.int8)
-        self.names = np.array([names[i] for i in order], np.int64)
-        self.vectors = [vectors[i] for i in order]
-        blocks = max(1, -(-len(order) // BLOCK))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for at, v in enumerate(self.vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((at, w))
-        self.best, self.lists = {}, {}
-        for t, entries in lists.items():
-            at, w = np.array([a for a, _ in entries], np.int32), np.array([x for _, x in entries])
-            self.best[t] = np.zeros(blocks)
-            np.maximum.at(self.best[t], at // BLOCK, w)
-            self.lists[t] = at, w, np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-        self.blocks = blocks
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest positive cosine: (cosine, place), ties by place. without: a place left out."""
-        query = [(t, w) for t, w in vector.items() if t in self.lists]
-        if not query:
-            return []
-        bound = np.zeros(self.blocks)
-        for t, w in query:
-            bound += w * self.best[t]
-        kept: list[tuple[float, int]] = []
-        order = np.argsort(-bound, kind="stable")
-        for b in order:
-            if bound[b] <= 0 or len(kept) == k and bound[b] < -kept[-1][0] - 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in query:
-                at, weights, cut = self.lists[t]
-                i, j = cut[b], cut[b + 1]
-                if i < j:
-                    sums[at[i:j] - b * BLOCK] += w * weights[i:j]
-            found = np.flatnonzero(sums > 0)
-            if len(kept) == k:
-                found = found[sums[found] >= -kept[-1][0] - 1e-9]
-            kept = sorted([*kept, *((-round(float(sums[x]), 9), int(b) * BLOCK + int(x)) for x in found if b * BLOCK + x != without)])[:k]
-        return [(-s, at) for s, at in kept]
-
-    def vote(self, near: list[tuple[float, int]], prior: float) -> float:
-        """Label mean weighted by 1 / (distance + 0.1), distance being 1 - cosine; a twentieth of a weight goes to the prior."""
-        weights = [1 / (1.1 - s) for s, _ in near]
-        return (sum(w * float(self.labels[at] > 0) for w, (_, at) in zip(weights, near, strict=True)) + 0.05 * prior) / (sum(weights) + 0.05)
-
-
 class Hashes(dict):
     """64-bit hashes of terms, each made once."""
 
@@ -180,204 +87,176 @@ def counted(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(hashes.__getitem__, c), np.uint64, len(c)), np.fromiter(c.values(), np.int64, len(c))
 
 
-class Full:
-    """Unit TF-IDF vectors of the sample over all its terms, as columns."""
-
-    vote = BlockMax.vote
-
-    def __init__(self, names: list[int], labels: list[int], hashes: list[np.ndarray], counts: list[np.ndarray], chosen: list[str]):
-        self.names, self.labels = np.array(names, np.int64), np.array(labels, np.int8)
-        h, c = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashes, np.uint64), (counts, np.int32)))
-        self.rows = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in hashes])
-        self.vocabulary = np.unique(h)
-        self.cols = np.searchsorted(self.vocabulary, h).astype(np.int32)
-        self.weights = 1 + np.log(c)
-        known, made = np.zeros(len(names), bool), Hashes()
-        known[self.rows[np.isin(h, np.array([made[w] for w in chosen], np.uint64))]] = True
-        self.bare = np.flatnonzero(~known)
-
-    def weigh(self, idf: np.ndarray) -> None:
-        """Lists of rare terms stay lists. Terms that more than a sixteenth of the examples have are dense rows: their lists are nearly all of what a text would read, and a batch of texts multiplies with them at once."""
-        self.idf = idf
-        w = self.weights * idf[self.cols]
-        norms = np.sqrt(np.bincount(self.rows, w * w, minlength=len(self.names)))
-        w /= np.maximum(norms, 1e-300)[self.rows]
-        often = np.bincount(self.cols, minlength=len(idf)) > max(64, len(self.names) // 16)
-        self.dense_at = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        self.dense = np.zeros((int(often.sum()), len(self.names)))
-        common = often[self.cols]
-        self.dense[self.dense_at[self.cols[common]], self.rows[common]] = w[common]
-        rows, cols, w = self.rows[~common], self.cols[~common], w[~common]
-        order = np.argsort(cols, kind="stable")
-        self.starts = np.searchsorted(cols[order], np.arange(len(idf) + 1))
-        self.rows, self.weights = rows[order], w[order]
-        del self.cols
-
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Columns of the known hashes, and which are known."""
-        if not len(self.vocabulary):
-            return np.empty(0, np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        ok = self.vocabulary[at] == hashes
-        return at[ok], ok
-
-    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each text (hashes, counts) the k examples of greatest positive cosine, as BlockMax has them; without: a place left out of each."""
-        made, queries = [], np.zeros((len(texts), len(self.dense)))
-        for n, (hashes, counts) in enumerate(texts):
-            at, ok = self.places(hashes)
-            w = (1 + np.log(counts[ok])) * self.idf[at]
-            norm = np.sqrt((w * w).sum())
-            w = w / norm if norm else w[:0]
-            at = at[: len(w)]
-            dense = self.dense_at[at] >= 0
-            queries[n, self.dense_at[at[dense]]] = w[dense]
-            made.append((at[~dense], w[~dense]))
-        sums = queries @ self.dense
-        out = []
-        for n, (at, w) in enumerate(made):
-            first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-            entry = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            all_ = np.round(sums[n] + np.bincount(self.rows[entry], np.repeat(w, size) * self.weights[entry], minlength=len(self.names)), 9)
-            if without is not None:
-                all_[without[n]] = 0
-            least = np.partition(all_, len(all_) - k)[len(all_) - k] if len(all_) > k else 0.0
-            found = np.flatnonzero((all_ > 0) & (all_ >= least))
-            best = found[np.lexsort((found, -all_[found]))[:k]]
-            out.append([(float(all_[x]), int(x)) for x in best])
-        return out
-
-
 def _one_text(rows: DataFrame, tells: str) -> DataFrame:
     """Of several texts of a doc_id the one of least hash, whatever the order of rows."""
     least = rows.groupBy("doc_id").agg(F.min(tells).alias(tells))
     return rows.join(least, ["doc_id", tells], "left_semi").dropDuplicates(["doc_id"])
 
 
-def full_index(docs: DataFrame, sample: DataFrame, chosen: list[str], n: int) -> tuple[Full, dict[int, tuple[np.ndarray, np.ndarray]], list[tuple[int, list[int], list[int], int]], np.ndarray]:
-    """The index; the term counts of its examples without a chosen term, by place; the others as (doc_id, places and counts of chosen terms, label); and the chosen terms' weights. The driver holds all terms of the sample's texts as arrays."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, count = Hashes(), chosen_counts(chosen)
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            found = [counted(text, hashes) for text in texts]
-            own = [np.array(count(text), np.int32).tobytes() for text in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in ([h.tobytes() for h, _ in found], [c.astype(np.int32).tobytes() for _, c in found], own))], names=["doc_id", "toxic", "h", "c", "own"])
-
-    own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", common.whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
-    own = _one_text(own, "h").select("doc_id", "toxic", "text")
-    rows = own.mapInArrow(features, "doc_id long, toxic int, h binary, c binary, own binary").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    held = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int32)) for r in rows]
-    full = Full([r.doc_id for r in rows], [r.toxic for r in rows], [h for h, _ in held], [c for _, c in held], chosen)
-    held = {int(at): (held[at][0].copy(), held[at][1].copy()) for at in full.bare}
-    marked = [(r.doc_id, *np.frombuffer(r.own, np.int32).reshape(-1, 2).T.tolist(), r.toxic) for r in rows if len(r.own)]
-    del rows
-    vocabulary = docs.sparkSession.sparkContext.broadcast(full.vocabulary)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, place = vocabulary.value, {}
-        times = np.zeros(len(v) + 1, np.int64)
-        hashes = Hashes()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                found = set(terms(text))
-                at = []
-                for w in found:
-                    k = place.get(w)
-                    if k is None:
-                        x = np.uint64(hashes[w])
-                        k = int(np.searchsorted(v, x))
-                        k = k if k < len(v) and v[k] == x else len(v)
-                        if len(place) < 1_000_000:
-                            place[w] = k
-                    at.append(k)
-                times[at] += 1
-        some = np.flatnonzero(times[:-1])
-        for k in range(0, len(some), 50_000):
-            part = some[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(times[part], pa.int64())], names=["t", "times"])
-
-    df = np.zeros(len(full.vocabulary))
-    if len(df):
-        for r in docs.select(common.whole_text().alias("text")).mapInArrow(frequencies, "t long, times long").groupBy("t").agg(F.sum("times").alias("times")).toLocalIterator():
-            df[r.t] = r.times
-    idf = np.where(df > 0, np.log((n + 1) / np.maximum(df, 1)), 0.0)
-    made = Hashes()
-    at, _ = full.places(np.array([made[w] for w in chosen], np.uint64))
-    full.weigh(idf)
-    return full, held, marked, idf[at]
-
-
 def isotonic(x: list[float], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: the steps of the best non-decreasing fit, slightly drawn to the middle so that no step is 0 or 1."""
-    blocks: list[list[float]] = []
+    """Pool adjacent violators: both ends of each step of the best non-decreasing fit, and its level, slightly drawn to the middle so that none is 0 or 1. Between steps the fit is a line."""
+    steps: list[list[float]] = []
     groups: dict[float, list[int]] = {}
     for a, b in zip(x, y, strict=True):
         g = groups.setdefault(round(a, 6), [0, 0])
         g[0] += b
         g[1] += 1
     for a in sorted(groups):
-        s, n = groups[a]
-        blocks.append([a, s, n])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            _, s, n = blocks.pop()
-            blocks[-1][1] += s
-            blocks[-1][2] += n
-    return np.array([b[0] for b in blocks]), np.array([(b[1] + 0.01) / (b[2] + 0.02) for b in blocks])
+        steps.append([a, a, *groups[a]])
+        while len(steps) > 1 and steps[-2][2] * steps[-1][3] >= steps[-1][2] * steps[-2][3]:
+            _, end, s, n = steps.pop()
+            steps[-1][1] = end
+            steps[-1][2] += s
+            steps[-1][3] += n
+    return np.array([e for a, z, _, _ in steps for e in (a, z)]), np.array([(s + 0.01) / (n + 0.02) for _, _, s, n in steps for _ in (0, 1)])
+
+
+class BlockMax:
+    """Unit vectors of the examples as an inverted index with a bound for each block.
+
+    names, labels: of the examples; hashes, counts: of each one's terms; frequencies: from a sorted array of
+    term hashes, in how many of `documents` texts each is.
+    """
+
+    def __init__(self, names: list[int], labels: list[int], hashes: list[np.ndarray], counts: list[np.ndarray], vocabulary: np.ndarray, frequencies: np.ndarray, documents: int):
+        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+        y = np.array(labels, np.int64)
+        self.vocabulary, self.prior = vocabulary, float(y.mean()) if len(y) else 0.0
+        self.unknown = np.log(len(y) + 1)
+        row = np.repeat(np.arange(len(y)), sizes)
+        col = np.searchsorted(vocabulary, np.concatenate(hashes)) if len(y) else np.empty(0, np.int64)
+        toxic, clean = (np.bincount(col, y[row] == side, len(vocabulary)) for side in (1, 0))
+        rate = lambda held, side, part: (held + SMOOTHING * part) / max(1, (y == side).sum())
+        idf = np.where(frequencies > 0, np.log((documents + 1) / np.maximum(frequencies, 1)), 0.0)
+        self.weight = idf * rate(toxic, 1, self.prior) / np.maximum(rate(clean, 0, 1 - self.prior), 1e-12)
+        w = (1 + np.log(np.concatenate(counts))) * self.weight[col] if len(y) else np.empty(0)
+        w /= np.maximum(np.sqrt(np.bincount(row, w * w, len(y))), 1e-300)[row]
+        # Examples in the order of their heaviest terms, so that like ones share a block.
+        heaviest = np.zeros(len(y), np.int64)
+        rising = np.argsort(w, kind="stable")
+        heaviest[row[rising]] = col[rising]
+        order = np.lexsort((np.array(names, np.int64), heaviest))
+        self.names, self.labels = np.array(names, np.int64)[order], y[order]
+        row = np.argsort(order)[row] if len(y) else row
+        self.blocks = -(-len(y) // BLOCK)
+        often = np.bincount(col, minlength=len(vocabulary)) * FREQUENT > max(len(y), 64 * FREQUENT)
+        self.frequent = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((self.blocks, int(often.sum()), BLOCK))
+        mine = often[col]
+        self.dense[row[mine] // BLOCK, self.frequent[col[mine]], row[mine] % BLOCK] = w[mine]
+        self.most = self.dense.max(axis=2) if self.dense.size else np.zeros(self.dense.shape[:2])
+        row, col, w = row[~mine], col[~mine], w[~mine]
+        by = np.argsort(col, kind="stable")
+        self.rows, self.weights = row[by].astype(np.int32), w[by]
+        self.starts = np.searchsorted(col[by], np.arange(len(vocabulary) + 1))
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and weights of a text's known terms; the norm is that of all its terms."""
+        if not len(self.vocabulary) or not len(hashes):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == hashes
+        w = (1 + np.log(counts)) * np.where(known, self.weight[at], self.unknown)
+        norm = np.sqrt((w * w).sum())
+        return at[known], w[known] / norm if norm else w[known]
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+        """The k examples of greatest positive cosine: (cosine, place), ties by place. without: a place left out."""
+        if not len(at):
+            return []
+        often = self.frequent[at] >= 0
+        rare, x = at[~often], w[~often]
+        first, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+        entry = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sums = np.bincount(self.rows[entry], np.repeat(x, size) * self.weights[entry], self.blocks * BLOCK).astype(float).reshape(-1, BLOCK)
+        if without >= 0:
+            sums[without // BLOCK, without % BLOCK] = -np.inf
+        if often.any():
+            q = np.zeros(self.dense.shape[1])
+            q[self.frequent[at[often]]] = w[often]
+            bound = sums.max(axis=1) + self.most @ q
+            turn = np.argsort(-bound, kind="stable")
+            for part in (turn[:FIRST], turn[FIRST:]):
+                # Partial sums are lower bounds too: weights are never negative.
+                part = part[bound[part] >= self._kth(sums, k) - 1e-9]
+                sums[part] += q @ self.dense[part]
+        flat = np.round(sums.ravel()[: len(self.names)], 9)
+        least = np.partition(flat, len(flat) - k)[len(flat) - k] if len(flat) > k else 0.0
+        found = np.flatnonzero((flat > 0) & (flat >= least))
+        best = found[np.lexsort((found, -flat[found]))[:k]]
+        return [(float(flat[i]), int(i)) for i in best]
+
+    @staticmethod
+    def _kth(sums: np.ndarray, k: int) -> float:
+        return max(0.0, np.partition(sums.ravel(), sums.size - k)[sums.size - k]) if sums.size > k else 0.0
+
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        """Label mean weighted by 1 / (distance + 0.1), distance being 1 - cosine; a twentieth of a weight goes to the rate of the examples."""
+        weights = [1 / (1.1 - s) for s, _ in near]
+        return (sum(w * float(self.labels[at]) for w, (_, at) in zip(weights, near, strict=True)) + 0.05 * self.prior) / (sum(weights) + 0.05)
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], bare: tuple[int, int], full: Full, held: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """full, held: the index over all terms, and its examples' counts; examples: (doc_id, term ids, counts, label) of those with a term; bare: clean and toxic examples without any."""
-        self.idf = idf
-        made = [(self.vector(i, c), y, d) for d, i, c, y in examples]
-        made = [m for m in made if m[0]]
-        self.index = BlockMax([m[0] for m in made], [m[1] for m in made], [m[2] for m in made])
-        n = len(made) + sum(bare)
-        toxic = sum(m[1] > 0 for m in made) + bare[1]
-        self.prior = toxic / n if n else 0.0
-        self.bare = bare[1] / sum(bare) if sum(bare) else self.prior
-        votes = [self.index.vote(self.index.nearest(v, NEIGHBOURS, at), self.prior) for at, v in enumerate(self.index.vectors)]
-        self.steps, self.levels = isotonic(votes, [int(y > 0) for y in self.index.labels]) if votes else (np.array([0.0]), np.array([self.bare]))
-        self.full = full
-        votes = []
-        for k in range(0, len(full.bare), TOGETHER):
-            places = full.bare[k : k + TOGETHER].tolist()
-            votes += [full.vote(near, self.prior) for near in full.nearest([held[at] for at in places], NEIGHBOURS, places)]
-        self.full_steps, self.full_levels = isotonic(votes, [int(y > 0) for y in full.labels[full.bare]]) if votes else (np.array([0.0]), np.array([self.bare]))
-
-    def vector(self, ids: list[int], counts: list[int]) -> dict[int, float]:
-        w = {i: (1 + np.log(c)) * self.idf[i] for i, c in zip(ids, counts, strict=True) if self.idf[i] > 0}
-        norm = sum(x * x for x in w.values()) ** 0.5
-        return {i: float(x / norm) for i, x in w.items()} if norm else {}
-
-    def score_full(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
-        out = []
-        for near in self.full.nearest(texts, NEIGHBOURS) if len(self.full.names) else [[] for _ in texts]:
-            at = np.searchsorted(self.full_steps, round(self.full.vote(near, self.prior), 6), side="right") - 1 if near else 0
-            out.append((float(self.full_levels[max(0, at)]) if near else self.bare, near))
-        return out
-
-    def score(self, ids: list[int], counts: list[int]) -> tuple[float, list[tuple[float, int]]]:
-        v = self.vector(ids, counts)
-        near = self.index.nearest(v, NEIGHBOURS) if v else []
+    """The index and the probabilities of its votes."""
+
+    def __init__(self, index: BlockMax, hashes: list[np.ndarray], counts: list[np.ndarray]):
+        """hashes, counts: of the examples, in the index's order."""
+        self.index = index
+        votes = [index.vote(index.nearest(*index.vector(h, c), without=at)) for at, (h, c) in enumerate(zip(hashes, counts, strict=True))]
+        self.steps, self.levels = isotonic(votes, index.labels.tolist()) if votes else (np.array([0.0]), np.array([0.0]))
+
+    def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.nearest(*self.index.vector(hashes, counts))
         if not near:
-            return self.bare, []
-        at = np.searchsorted(self.steps, round(self.index.vote(near, self.prior), 6), side="right") - 1
-        return float(self.levels[max(0, at)]), near
+            return self.index.prior, []
+        return float(np.interp(round(self.index.vote(near), 6), self.steps, self.levels)), near
+
 
+def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """In how many texts each term of the vocabulary (sorted hashes, bounded by the sample) is."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[str]]:
-    """The model, and its chosen terms."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    sample = sample_of(labels)
-    chosen = choose_terms(docs, sample)
-    full, held, marked, idf = full_index(docs, sample, chosen, docs.count())
-    toxic = sum(int(full.labels[at] > 0) for at in full.bare)
-    return Model(idf, marked, (len(full.bare) - toxic, toxic), full, held), chosen
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, hashes = shared.value, Hashes()
+        times = np.zeros(len(v), np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                h = np.fromiter({hashes[t] for t in terms(text)}, np.uint64)
+                if len(h):
+                    at = np.minimum(np.searchsorted(v, h), len(v) - 1)
+                    times[at[v[at] == h]] += 1
+        some = np.flatnonzero(times)
+        for k in range(0, len(some), 50_000):
+            part = some[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(times[part], pa.int64())], names=["t", "times"])
+
+    out = np.zeros(len(vocabulary), np.int64)
+    if len(out):
+        for r in docs.select(common.whole_text().alias("text")).mapInArrow(count, "t long, times long").groupBy("t").agg(F.sum("times").alias("times")).toLocalIterator():
+            out[r.t] = r.times
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
+    """The model. The driver holds the terms of the sample's texts as arrays."""
+    common.tune(docs.sparkSession)
+    sample = sample_of(labels, size)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            found = [counted(text, hashes) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in ([h.tobytes() for h, _ in found], [c.astype(np.int32).tobytes() for _, c in found]))], names=["doc_id", "toxic", "h", "c"])
+
+    own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", common.whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = _one_text(own, "h").select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, h binary, c binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    hashes, counts = [np.frombuffer(r.h, np.uint64) for r in rows], [np.frombuffer(r.c, np.int32) for r in rows]
+    vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
+    index = BlockMax([r.doc_id for r in rows], [int(r.toxic > 0) for r in rows], hashes, counts, vocabulary, frequencies(docs, vocabulary), docs.count())
+    place = {r.doc_id: k for k, r in enumerate(rows)}
+    order = [place[d] for d in index.names.tolist()]
+    return Model(index, [hashes[k] for k in order], [counts[k] for k in order])
 
 
 SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>, text_hash long"
@@ -385,37 +264,24 @@ SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the nearest three examples), text_hash (tells rows of one doc_id apart)."""
-    model, chosen = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen, hashes, count = shared.value, {}, Hashes(), chosen_counts(chosen)
-        evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        m, hashes, seen = shared.value, Hashes(), {}
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             score, evidence = [], []
-            texts = b.column(1).to_pylist()
-            found = [count(text) for text in texts]
-            bare = [text for text, f in zip(texts, found, strict=True) if not f]
-            scored = (x for k in range(0, len(bare), TOGETHER) for x in m.score_full([counted(t, hashes) for t in bare[k : k + TOGETHER]]))
-            for f in found:
-                if not f:
-                    s, near = next(scored)
-                    score.append(s)
-                    toxic = any(m.full.labels[at] > 0 for _, at in near[:3])
-                    evidence.append([{"doc_id": int(m.full.names[at]), "cosine": c, "toxic": int(m.full.labels[at])} for c, at in near[:3]] if toxic else [])
-                    continue
-                ids, tfs = [i for i, _ in f], [n for _, n in f]
-                key = (*ids, *tfs)
-                if key not in seen:
-                    if len(seen) >= 100_000:
+            for text in b.column(1).to_pylist():
+                if text not in seen:
+                    if len(seen) >= 2_000:
                         seen.clear()
-                    s, near = m.score(ids, tfs)
-                    seen[key] = s, [{"doc_id": int(m.index.names[at]), "cosine": c, "toxic": int(m.index.labels[at])} for c, at in near[:3]]
-                s, e = seen[key]
+                    s, near = m.score(*counted(text, hashes))
+                    seen[text] = s, [{"doc_id": int(m.index.names[at]), "cosine": c, "toxic": int(m.index.labels[at])} for c, at in near[:3]]
+                s, e = seen[text]
                 score.append(s)
                 evidence.append(e)
             predicted = [int(s >= 0.5) for s in score]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, evidence_type), b.column(2)], names=["doc_id", "score", "predicted", "evidence", "text_hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, kind), b.column(2)], names=["doc_id", "score", "predicted", "evidence", "text_hash"])
 
     return _texts(docs).mapInArrow(run, SCHEMA).select("doc_id", F.coalesce(~is_train(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "text_hash")
 
