@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platen.operators.folds import folded
+
 RESET = 3
 
 
@@ -37,28 +39,22 @@ def best_frame(framed: DataFrame, keys: list[str], score: Column, id_: str) -> D
 
 
 def best_of_windows(frames: DataFrame, keys: list[str], ts: str, score: str, id_: str, width: float) -> DataFrame:
-    """Tumbling best-of windows that restart at the frame that closes them. Each window's end depends on the last, so a key's ordered frames are folded in an Arrow function over batches."""
-    import pandas as pd
-
-    schema = ", ".join([*(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys), "start double", "best long", "best_score double", "frames long"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, id_], kind="stable")
-        out, start, best, n = [], None, None, 0
-        for t, s, i in zip(pdf[ts], pdf[score], pdf[id_], strict=True):
-            start = t if start is None else start
-            s = -1.0 if s is None or s != s else float(s)
-            n += 1
-            if best is None or s > best[0]:
-                best = s, i
-            if t - start >= width:
-                out.append((start, best[1], best[0], n))
-                start, best, n = t, None, 0
-        if n:
-            out.append((start, best[1], best[0], n))
-        made = pd.DataFrame(out, columns=["start", "best", "best_score", "frames"])
-        for k in reversed(keys):
-            made.insert(0, k, pdf[k].iloc[0])
-        return made
-
-    return frames.groupBy(*keys).applyInPandas(fold, schema)
+    """Tumbling best-of windows that restart at the frame that closes them: each window's end depends on the last, so a key's ordered frames are folded, with one window as the state. A frame without a score counts as -1; the first of equals is best."""
+
+    def step(window: dict, frame: dict):
+        t, s = frame[ts], frame[score]
+        window.setdefault("start", t)
+        s = -1.0 if s is None or s != s else float(s)
+        window["frames"] = window.get("frames", 0) + 1
+        if "best" not in window or s > window["score"]:
+            window |= {"best": frame[id_], "score": s}
+        if t - window["start"] >= width:
+            yield from close(window)
+            window.clear()
+            window["start"] = t
+
+    def close(window: dict):
+        if window.get("frames"):
+            yield float(window["start"]), window["best"], window["score"], window["frames"]
+
+    return folded(frames.select(*dict.fromkeys([*keys, ts, score, id_])), keys, [ts, id_], "start double, best long, best_score double, frames long", dict, step, close)
