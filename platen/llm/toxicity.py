@@ -34,25 +34,28 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled training rows that are used at most, the first by a hash; it bounds what the driver holds and broadcasts.
-SAMPLE = 5_000
+SAMPLE = 4_000
 #: Rows that are added to a term's counts, shared as the labels are.
 SMOOTHING = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Terms that more than one in so many examples has are frequent.
-FREQUENT = 16
+FREQUENT = 4
 #: Blocks that are summed before the others' bounds are tested again.
 FIRST = 8
 
 _words = re.compile(r"[^\W_]+|[^\w\s]{2,}").findall
 
 
-def terms(text: str) -> Iterator[str]:
-    """Words, the first five letters of longer ones (with a star), and runs of marks."""
-    for w in _words(text.lower()):
-        yield w
+def terms(text: str) -> Counter:
+    """How often a text has each word, the first five letters of longer ones (with a star), and runs of marks."""
+    words = Counter(_words(text.lower()))
+    begun: Counter = Counter()
+    for w, n in words.items():
         if len(w) > 5:
-            yield w[:5] + "*"
+            begun[w[:5] + "*"] += n
+    words.update(begun)
+    return words
 
 
 def is_train(doc_id="doc_id"):
@@ -69,24 +72,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", common.whole_text().alias("text"), F.xxhash64(common.whole_text()).alias("text_hash"))
 
 
-class Hashes(dict):
-    """64-bit hashes of terms, each made once."""
-
-    def __missing__(self, term: str) -> int:
-        import xxhash
-
-        if len(self) >= 1_000_000:
-            self.clear()
-        n = self[term] = xxhash.xxh3_64_intdigest(term)
-        return n
-
-
-def counted(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of all of a text's terms."""
-    c = Counter(terms(text))
-    return np.fromiter(map(hashes.__getitem__, c), np.uint64, len(c)), np.fromiter(c.values(), np.int64, len(c))
-
-
 def _one_text(rows: DataFrame, tells: str) -> DataFrame:
     """Of several texts of a doc_id the one of least hash, whatever the order of rows."""
     least = rows.groupBy("doc_id").agg(F.min(tells).alias(tells))
@@ -114,18 +99,18 @@ def isotonic(x: list[float], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
 class BlockMax:
     """Unit vectors of the examples as an inverted index with a bound for each block.
 
-    names, labels: of the examples; hashes, counts: of each one's terms; frequencies: from a sorted array of
-    term hashes, in how many of `documents` texts each is.
+    names, labels: of the examples; columns, counts: of each one's terms; place: term -> column; frequencies: in how many of
+    `documents` texts each column's term is.
     """
 
-    def __init__(self, names: list[int], labels: list[int], hashes: list[np.ndarray], counts: list[np.ndarray], vocabulary: np.ndarray, frequencies: np.ndarray, documents: int):
-        sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    def __init__(self, names: list[int], labels: list[int], columns: list[np.ndarray], counts: list[np.ndarray], place: dict[str, int], frequencies: np.ndarray, documents: int):
+        sizes = np.fromiter(map(len, columns), np.int64, len(columns))
         y = np.array(labels, np.int64)
-        self.vocabulary, self.prior = vocabulary, float(y.mean()) if len(y) else 0.0
+        self.place, self.prior = place, float(y.mean()) if len(y) else 0.0
         self.unknown = np.log(len(y) + 1)
         row = np.repeat(np.arange(len(y)), sizes)
-        col = np.searchsorted(vocabulary, np.concatenate(hashes)) if len(y) else np.empty(0, np.int64)
-        toxic, clean = (np.bincount(col, y[row] == side, len(vocabulary)) for side in (1, 0))
+        col = np.concatenate(columns).astype(np.int64) if len(y) else np.empty(0, np.int64)
+        toxic, clean = (np.bincount(col, y[row] == side, len(place)) for side in (1, 0))
         rate = lambda held, side, part: (held + SMOOTHING * part) / max(1, (y == side).sum())
         idf = np.where(frequencies > 0, np.log((documents + 1) / np.maximum(frequencies, 1)), 0.0)
         self.weight = idf * rate(toxic, 1, self.prior) / np.maximum(rate(clean, 0, 1 - self.prior), 1e-12)
@@ -139,7 +124,7 @@ class BlockMax:
         self.names, self.labels = np.array(names, np.int64)[order], y[order]
         row = np.argsort(order)[row] if len(y) else row
         self.blocks = -(-len(y) // BLOCK)
-        often = np.bincount(col, minlength=len(vocabulary)) * FREQUENT > max(len(y), 64 * FREQUENT)
+        often = np.bincount(col, minlength=len(place)) * FREQUENT > max(len(y), 64 * FREQUENT)
         self.frequent = np.where(often, np.cumsum(often) - 1, -1)
         self.dense = np.zeros((self.blocks, int(often.sum()), BLOCK))
         mine = often[col]
@@ -148,17 +133,21 @@ class BlockMax:
         row, col, w = row[~mine], col[~mine], w[~mine]
         by = np.argsort(col, kind="stable")
         self.rows, self.weights = row[by].astype(np.int32), w[by]
-        self.starts = np.searchsorted(col[by], np.arange(len(vocabulary) + 1))
+        self.starts = np.searchsorted(col[by], np.arange(len(place) + 1))
 
-    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights of a text's known terms; the norm is that of all its terms."""
-        if not len(self.vocabulary) or not len(hashes):
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == hashes
-        w = (1 + np.log(counts)) * np.where(known, self.weight[at], self.unknown)
-        norm = np.sqrt((w * w).sum())
-        return at[known], w[known] / norm if norm else w[known]
+        known = counts.keys() & self.place.keys()
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+        tf = np.fromiter(map(counts.__getitem__, known), np.int64, len(known))
+        order = np.argsort(at)
+        at, w = at[order], (1 + np.log(tf[order])) * self.weight[at[order]]
+        # Unknown terms: all those of a count at once.
+        rest = Counter(counts.values())
+        rest.subtract(tf.tolist())
+        square = sum(n * ((1 + np.log(c)) * self.unknown) ** 2 for c, n in sorted(rest.items()) if n)
+        norm = np.sqrt((w * w).sum() + square)
+        return at, w / norm if norm else w
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest positive cosine: (cosine, place), ties by place. without: a place left out."""
@@ -172,14 +161,13 @@ class BlockMax:
         if without >= 0:
             sums[without // BLOCK, without % BLOCK] = -np.inf
         if often.any():
-            q = np.zeros(self.dense.shape[1])
-            q[self.frequent[at[often]]] = w[often]
-            bound = sums.max(axis=1) + self.most @ q
+            mine, q = self.frequent[at[often]], w[often]
+            bound = sums.max(axis=1) + self.most[:, mine] @ q
             turn = np.argsort(-bound, kind="stable")
             for part in (turn[:FIRST], turn[FIRST:]):
                 # Partial sums are lower bounds too: weights are never negative.
                 part = part[bound[part] >= self._kth(sums, k) - 1e-9]
-                sums[part] += q @ self.dense[part]
+                sums[part] += q @ self.dense[np.ix_(part, mine)]
         flat = np.round(sums.ravel()[: len(self.names)], 9)
         least = np.partition(flat, len(flat) - k)[len(flat) - k] if len(flat) > k else 0.0
         found = np.flatnonzero((flat > 0) & (flat >= least))
@@ -199,38 +187,36 @@ class BlockMax:
 class Model:
     """The index and the probabilities of its votes."""
 
-    def __init__(self, index: BlockMax, hashes: list[np.ndarray], counts: list[np.ndarray]):
-        """hashes, counts: of the examples, in the index's order."""
+    def __init__(self, index: BlockMax, counts: Iterator[Counter]):
+        """counts: of the examples' terms, in the index's order."""
         self.index = index
-        votes = [index.vote(index.nearest(*index.vector(h, c), without=at)) for at, (h, c) in enumerate(zip(hashes, counts, strict=True))]
+        votes = [index.vote(index.nearest(*index.vector(c), without=at)) for at, c in enumerate(counts)]
         self.steps, self.levels = isotonic(votes, index.labels.tolist()) if votes else (np.array([0.0]), np.array([0.0]))
 
-    def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.index.vector(hashes, counts))
+    def score(self, counts: Counter) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.nearest(*self.index.vector(counts))
         if not near:
             return self.index.prior, []
         return float(np.interp(round(self.index.vote(near), 6), self.steps, self.levels)), near
 
 
-def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """In how many texts each term of the vocabulary (sorted hashes, bounded by the sample) is."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def frequencies(docs: DataFrame, place: dict[str, int]) -> np.ndarray:
+    """In how many texts each term of the examples (bounded by the sample) is, by column."""
+    shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hashes = shared.value, Hashes()
-        times = np.zeros(len(v), np.int64)
+        known = shared.value
+        times = np.zeros(len(known), np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                h = np.fromiter({hashes[t] for t in terms(text)}, np.uint64)
-                if len(h):
-                    at = np.minimum(np.searchsorted(v, h), len(v) - 1)
-                    times[at[v[at] == h]] += 1
+                there = terms(text).keys() & known.keys()
+                times[np.fromiter(map(known.__getitem__, there), np.int64, len(there))] += 1
         some = np.flatnonzero(times)
         for k in range(0, len(some), 50_000):
             part = some[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(times[part], pa.int64())], names=["t", "times"])
 
-    out = np.zeros(len(vocabulary), np.int64)
+    out = np.zeros(len(place), np.int64)
     if len(out):
         for r in docs.select(common.whole_text().alias("text")).mapInArrow(count, "t long, times long").groupBy("t").agg(F.sum("times").alias("times")).toLocalIterator():
             out[r.t] = r.times
@@ -238,25 +224,28 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """The model. The driver holds the terms of the sample's texts as arrays."""
+    """The model. The driver holds the terms of the sample's texts: each term once, and arrays of their columns and counts."""
     common.tune(docs.sparkSession)
     sample = sample_of(labels, size)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in batches:
-            found = [counted(text, hashes) for text in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in ([h.tobytes() for h, _ in found], [c.astype(np.int32).tobytes() for _, c in found]))], names=["doc_id", "toxic", "h", "c"])
+            found = [terms(text) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(c) for c in found]), pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found], pa.binary())], names=["doc_id", "toxic", "terms", "c"])
 
     own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", common.whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = _one_text(own, "h").select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, h binary, c binary").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    hashes, counts = [np.frombuffer(r.h, np.uint64) for r in rows], [np.frombuffer(r.c, np.int32) for r in rows]
-    vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
-    index = BlockMax([r.doc_id for r in rows], [int(r.toxic > 0) for r in rows], hashes, counts, vocabulary, frequencies(docs, vocabulary), docs.count())
-    place = {r.doc_id: k for k, r in enumerate(rows)}
-    order = [place[d] for d in index.names.tolist()]
-    return Model(index, [hashes[k] for k in order], [counts[k] for k in order])
+    rows = _one_text(own, "h").select("doc_id", "toxic", "text").mapInArrow(features, "doc_id long, toxic int, terms string, c binary")
+    place: dict[str, int] = {}
+    examples = []
+    for r in rows.toLocalIterator():
+        columns = np.fromiter((place.setdefault(t, len(place)) for t in r.terms.split()), np.int32)
+        examples.append((r.doc_id, int(r.toxic > 0), columns, np.frombuffer(r.c, np.int32)))
+    examples.sort(key=lambda e: e[0])
+    ids, toxic, columns, counts = zip(*examples, strict=True) if examples else ((), (), (), ())
+    index = BlockMax(list(ids), list(toxic), list(columns), list(counts), place, frequencies(docs, place), docs.count())
+    names, at = list(place), {d: k for k, d in enumerate(ids)}
+    whole = (Counter({names[t]: n for t, n in zip(columns[k].tolist(), counts[k].tolist(), strict=True)}) for k in map(at.__getitem__, index.names.tolist()))
+    return Model(index, whole)
 
 
 SCHEMA = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>, text_hash long"
@@ -267,7 +256,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes, seen = shared.value, Hashes(), {}
+        m, seen = shared.value, {}
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             score, evidence = [], []
@@ -275,7 +264,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 if text not in seen:
                     if len(seen) >= 2_000:
                         seen.clear()
-                    s, near = m.score(*counted(text, hashes))
+                    s, near = m.score(terms(text))
                     seen[text] = s, [{"doc_id": int(m.index.names[at]), "cosine": c, "toxic": int(m.index.labels[at])} for c, at in near[:3]]
                 s, e = seen[text]
                 score.append(s)
