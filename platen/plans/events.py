@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platen.catalogue import Tables, query
 from platen.functions import text
-from platen.operators import rows, sessions
+from platen.operators import pools, rows, sessions
 
 DEFECT, BODY = "error", "purchase"
 _FRAMES = """with f as (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events),
@@ -143,3 +143,13 @@ def event_stop_conditions(t: Tables) -> DataFrame:
 @query("select event_id, strftime(ts, '%Y%m%d-%H%M%S') as rec_id, strftime(ts, '%Y-%m-%d') as day from events where event_type = 'purchase'")
 def event_record_ids(t: Tables) -> DataFrame:
     return t.events.where(F.col("event_type") == BODY).select("event_id", F.date_format("ts", "yyyyMMdd-HHmmss").alias("rec_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query()
+def event_pool_published(t: Tables) -> DataFrame:
+    """The picture of each object with a defect, from a pool that collects while the defect is in view; a user is a line, with odd events as camera frames and a pause now and then."""
+    turn = F.col("event_id") % 50
+    kind = F.when(turn == 0, "pause").when(turn == 6, "resume").when(F.col("event_id") % 2 == 1, "raw").otherwise("seen")
+    verdict = F.when(F.col("event_type") == "error", "ng").when(F.col("event_type") == BODY, "ok")
+    frames = t.events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("event_id").alias("frame_id"), kind.alias("kind"), F.col("value").alias("sharpness"), (F.col("event_id") % 3 > 0).alias("shows"), verdict.alias("verdict"), (F.col("event_id") % 4 > 0).alias("whole"), F.col("value").alias("score"))
+    return pools.published(frames, "user_id", reset=1)
