@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all but the last
 return the columns of documents.
+
+Defined cases, for every stage: an empty table gives none; null text counts as empty, is neither
+toxic, repeated, near anything nor contaminated, and so stays up to packing; a null doc_id is an id like
+any other, and rows are known by doc_id and text, so rows that share an id stand for themselves; extra columns of any name are
+kept up to packing and ignored there.
 """
 
 from __future__ import annotations
@@ -26,22 +31,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With each repeated line kept once; n_chars follows the text."""
+    """With each repeated line kept once; n_chars follows the text. A document all of whose lines go stays, with empty text."""
     out = lines.without_repeats(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of least doc_id, null last, of equal ids the one of least text hash; of equal rows one. Texts without words are near nothing."""
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
+    """Without the documents that hold a benchmark item, with up to 8 % of its characters changed."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence; an empty text is its end token alone."""
     return packing.packed(docs)
 
 
