@@ -76,16 +76,17 @@ def span_rejected(mode: str, suspect: Column, text: Column, poisoned: Column) ->
 
 # Detector and capture gates.
 def detector_gate(pairs: DataFrame, counts: DataFrame, keys: list[str], least_iou: float, most_conf: float, most_drift: float) -> DataFrame:
-    """keys, mean_iou, max_conf, drift, mismatches, disaster, ok. pairs: keys, iou, conf, same; counts: keys, base, test (boxes of an image)."""
+    """keys, mean_iou, max_conf, drift, mismatches, disaster, ok. pairs: keys, iou, conf, same; counts: keys, base, test (boxes of an image). The mean is that of decimals, so it doesn't depend on the order of rows; the gate compares doubles."""
     total = counts.groupBy(*keys).agg(F.sum("base").alias("base"), F.sum("test").alias("test"))
-    met = pairs.groupBy(*keys).agg(F.avg("iou").alias("iou"), F.max("conf").alias("conf"), F.count_if(~F.col("same")).alias("mismatches"))
+    met = pairs.groupBy(*keys).agg(F.avg("iou").alias("iou"), F.avg(F.col("iou").cast("decimal(18,15)")).cast("double").alias("exact"), F.max("conf").alias("conf"), F.count_if(~F.col("same")).alias("mismatches"))
     j = total.join(met, keys, "left")
-    iou = F.coalesce("iou", F.when((F.col("base") == 0) & (F.col("test") == 0), 1.0).otherwise(0.0))
+    alone = F.when((F.col("base") == 0) & (F.col("test") == 0), 1.0).otherwise(0.0)
+    iou, mean = F.coalesce("iou", alone), F.coalesce("exact", alone)
     conf, wrong = F.coalesce("conf", F.lit(0.0)), F.coalesce("mismatches", F.lit(0))
     drift = F.abs(F.col("base") - F.col("test")) / F.greatest(F.col("base"), F.lit(1))
     disaster = (F.col("base") >= 3) & (F.col("test") == 0)
     ok = (iou >= least_iou) & (conf <= most_conf) & (drift <= most_drift) & (wrong == 0) & ~disaster
-    return j.select(*keys, iou.alias("mean_iou"), conf.alias("max_conf"), drift.alias("drift"), wrong.alias("mismatches"), disaster.alias("disaster"), ok.alias("ok"))
+    return j.select(*keys, mean.alias("mean_iou"), conf.alias("max_conf"), drift.alias("drift"), wrong.alias("mismatches"), disaster.alias("disaster"), ok.alias("ok"))
 
 
 # A gigabit link's MB/s, its efficiency with jumbo and with small packets, and the packet size from which it is jumbo.

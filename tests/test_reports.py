@@ -84,3 +84,13 @@ def test_spans_and_moved_texts(spark):
     assert got == {(2, 0): "MOVED", (2, 1): "TEXT", (2, 2): "TEXT", (2, 3): "TEXT", (2, 4): "TEXT", (2, 5): "PUNCT", (2, 6): "MOVED", (3, 0): "TEXT"}
     lines = spark.createDataFrame([(1, "a", 0, "made in the north of spain"), (1, "a", 1, "nothing like it"), (1, "b", 0, "was made in the north"), (1, "b", 1, "left over")], "g int, side string, i int, line string")
     assert {(r.found, r.reference) for r in alignment.cross_extras(lines, ["g"]).collect()} == {("made in the north of spain", "was made in the north"), ("nothing like it", None), (None, "left over")}
+
+
+def test_gate_mean_is_free_of_row_order(spark):
+    """A mean that ends in half of the last digit kept, summed from values that doubles don't hold."""
+    values = [0.9] * 3 + [0.91] * 5 + [0.97] * 13 + [1 - 0.07] * 2 + [1 - 0.01] * 9
+    exact = sum(round(v * 100) for v in values) * 10**5 / len(values) / 10**7
+    rows = [(k, v, 0.0, True) for k in range(8) for v in (values if k % 2 else values[::-1])[k:] + (values if k % 2 else values[::-1])[:k]]
+    pairs = spark.createDataFrame(rows, "k int, iou double, conf double, same boolean")
+    counts = spark.createDataFrame([(k, 1, 1) for k in range(8)], "k int, base int, test int")
+    assert {r.mean_iou for r in reports.detector_gate(pairs, counts, ["k"], 0.93, 0.07, 0.6).collect()} == {exact}
