@@ -374,11 +374,11 @@ def region_defects(regions: DataFrame, keys: list[str], cap: int) -> DataFrame:
     return rows.withColumn("found", F.when(F.col("relation") == "different", F.col("found"))).drop("_n")
 
 
-def match_summary(blocks: DataFrame, keys: list[str], suspect: float = 0.85, most: int = 10) -> DataFrame:
-    """keys, matched, missing, extra, suspects, and the first texts of the last two kinds. Columns: keys, i, kind (matched, missing, extra), text, sim."""
+def match_summary(blocks: DataFrame, keys: list[str], suspect: float = 0.85, most: int | None = 10) -> DataFrame:
+    """keys, matched, missing, extra, suspects, and the first texts of the last two kinds (most None: all). Columns: keys, i, kind (matched, missing, extra), text, sim."""
     def first(kind: str) -> Column:
         texts = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("text") != ""), F.struct("i", "text"))))
-        return F.transform(F.slice(texts, 1, most), lambda x: x["text"])
+        return F.transform(texts if most is None else F.slice(texts, 1, most), lambda x: x["text"])
 
     count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
     return blocks.groupBy(*keys).agg(count("matched"), count("missing"), count("extra"), F.count_if((F.col("kind") == "matched") & (F.col("sim") < suspect)).alias("suspects"), first("missing").alias("missing_texts"), first("extra").alias("extra_texts"))

@@ -292,7 +292,7 @@ def region_defects(t: Tables) -> DataFrame:
 def block_match_summary(t: Tables) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "matched").when(F.col("l_returnflag") == "N", "missing").otherwise("extra")
     blocks = t.lineitem.select("l_orderkey", F.col("l_extendedprice").alias("i"), kind.alias("kind"), F.when(F.col("l_tax") > 0, F.to_date("l_shipdate").cast("string")).otherwise("").alias("text"), (1 - F.col("l_discount") * 3).alias("sim"))
-    out = reports.match_summary(blocks, ["l_orderkey"])
+    out = reports.match_summary(blocks, ["l_orderkey"], most=None)
     return out.drop("extra_texts").withColumn("missing_texts", F.array_join("missing_texts", ","))
 
 

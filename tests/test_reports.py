@@ -94,3 +94,13 @@ def test_gate_mean_is_free_of_row_order(spark):
     pairs = spark.createDataFrame(rows, "k int, iou double, conf double, same boolean")
     counts = spark.createDataFrame([(k, 1, 1) for k in range(8)], "k int, base int, test int")
     assert {r.mean_iou for r in reports.detector_gate(pairs, counts, ["k"], 0.93, 0.07, 0.6).collect()} == {exact}
+
+
+def test_summary_of_blocks_keeps_every_text(spark):
+    from types import SimpleNamespace
+
+    from platen.plans import reports as plans
+
+    lines = spark.sql("select 1L as l_orderkey, cast(id as double) as l_extendedprice, 'N' as l_returnflag, 0.1d as l_tax, timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id as int)) as l_shipdate, 0d as l_discount from range(14)")
+    (got,) = plans.block_match_summary(SimpleNamespace(lineitem=lines)).collect()
+    assert got.missing == 14 and got.missing_texts == ",".join(f"2020-01-{d:02d}" for d in range(1, 15))
