@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 
+from platen.operators import alignment
 from platen.plans import groups, lines
 
 
@@ -69,3 +70,10 @@ def test_nearest_of_all_document_lines(spark):
     key = lambda x: "".join(c for c in x if c.isalnum()).upper()
     want = {(i, *min((_distance(key(x), key(y)), d, p) for d, z in docs for p, y in enumerate(z.split("\n")))) for i, x in items}
     assert {(r.item_id, r.distance, r.doc_id, r.pos) for r in lines.benchmark_nearest_document_line(t).collect()} == want
+
+
+def test_fit_holds_no_map_of_values(spark):
+    points = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 4.0), (1, 3.0, 6.0), (2, 1.0, 1.0)], "k int, x double, y double")
+    fit = alignment.robust_fit(points, ["k"])
+    assert [(r.k, round(r.slope, 9), r.n) for r in fit.collect()] == [(1, 2.0, 3)]
+    assert not any(x in fit._jdf.queryExecution().optimizedPlan().toString() for x in ("median", "percentile"))
