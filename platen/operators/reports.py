@@ -248,12 +248,12 @@ def zoom_lines(zooms: DataFrame, panels: DataFrame, keys: list[str]) -> DataFram
     k = lambda x: tx.key(x, unicode=False)
     whole = panels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     whole = whole.select(*keys, F.array_join(F.transform("_l", lambda r: flat(r["line"])), "").alias("_flat"), F.array_join(F.transform("_l", lambda r: k(r["line"])), "").alias("_key"))
-    asked = zooms.select(*keys, "line", k(F.col("line")).alias("_k")).where("_k != ''").join(whole, keys, "left")
-    words = tx.tokens(F.col("line"))
-    there = F.contains("_flat", flat(F.col("line"))) | F.contains("_key", F.col("_k")) | ((F.size(words) > 0) & F.forall(words, lambda w: F.contains(F.col("_key"), w)))
-    open_ = asked.where(~F.coalesce(there, F.lit(False))).select(*keys, "line", "_k")
-    other = panels.select(*keys, "pos", F.col("line").alias("nearest"), k(F.col("line")).alias("_n")).where("_n != ''")
-    best = open_.join(other, keys, "left").groupBy(*keys, "line", "_k").agg(F.min(F.struct(F.levenshtein("_k", "_n").alias("d"), "pos", "nearest", F.char_length("_n").alias("n"))).alias("x"))
+    # A group's zoom lines meet its panels' text in one row, so that text isn't shipped once a line; equal panel lines are one.
+    asked = zooms.where(k(F.col("line")) != "").groupBy(*keys).agg(F.collect_set(F.struct("line", k(F.col("line")).alias("k"), flat(F.col("line")).alias("flat"), tx.tokens(F.col("line")).alias("words"))).alias("_z"))
+    there = lambda z: F.contains("_flat", z["flat"]) | F.contains("_key", z["k"]) | ((F.size(z["words"]) > 0) & F.forall(z["words"], lambda w: F.contains(F.col("_key"), w)))
+    open_ = asked.join(whole, keys, "left").select(*keys, F.explode(F.filter("_z", lambda z: ~F.coalesce(there(z), F.lit(False)))).alias("_z")).select(*keys, F.col("_z.line").alias("line"), F.col("_z.k").alias("_k"))
+    other = panels.select(*keys, "pos", "line", k(F.col("line")).alias("_n")).where("_n != ''").groupBy(*keys, "_n").agg(F.min(F.struct("pos", "line")).alias("p"))
+    best = open_.join(other, keys, "left").groupBy(*keys, "line", "_k").agg(F.min(F.struct(F.levenshtein("_k", "_n").alias("d"), F.col("p.pos").alias("pos"), F.col("p.line").alias("nearest"), F.char_length("_n").alias("n"))).alias("x"))
     span = F.greatest(F.char_length("_k"), F.col("x.n"))
     close = (F.col("x.d") < span) & (F.col("x.d") <= F.greatest(F.lit(2), F.floor(span * 0.4)))
     return best.select(*keys, "line", F.col("x.nearest").alias("nearest"), F.col("x.d").alias("distance"), F.coalesce(close, F.lit(False)).alias("close"))

@@ -104,3 +104,12 @@ def test_summary_of_blocks_keeps_every_text(spark):
     lines = spark.sql("select 1L as l_orderkey, cast(id as double) as l_extendedprice, 'N' as l_returnflag, 0.1d as l_tax, timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id as int)) as l_shipdate, 0d as l_discount from range(14)")
     (got,) = plans.block_match_summary(SimpleNamespace(lineitem=lines)).collect()
     assert got.missing == 14 and got.missing_texts == ",".join(f"2020-01-{d:02d}" for d in range(1, 15))
+
+
+def test_zoom_lines_meet_a_group_once(spark):
+    """Equal panel lines are one, and a group's text meets all its zoom lines in one row."""
+    zooms = spark.createDataFrame([(1, "red ring"), (1, "gone bolt"), (1, "gone belt"), (2, "red ring")], "g int, line string")
+    panels = spark.createDataFrame([(1, p, "gone bold") for p in range(3, 40)] + [(1, 2, "Red  Ring"), (1, 50, "gone bell")], "g int, pos long, line string")
+    out = reports.zoom_lines(zooms, panels, ["g"])
+    assert {(r.g, r.line, r.nearest, r.distance, r.close) for r in out.collect()} == {(1, "gone bolt", "gone bold", 1, True), (1, "gone belt", "gone bell", 1, True), (2, "red ring", None, None, False)}
+    assert "collect_set" in out._jdf.queryExecution().optimizedPlan().toString()
