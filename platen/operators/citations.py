@@ -5,6 +5,8 @@ Word ids are 'A<line>:<word>', from 0. Ids are exploded and joined with their ow
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +25,14 @@ def squeezed(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), _BLANK, " "))
 
 
-def placed_words(x: Column) -> Column:
-    """The words of a text: array of structs word, start, end."""
-    words = F.filter(F.split(F.coalesce(x, F.lit("")), _BLANK), lambda w: w != "")
-    none = F.expr("named_struct('at', 0, 'words', cast(array() as array<struct<word:string,start:int,end:int>>))")
+#: What is no blank to _BLANK; Python's own blanks are others.
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-    def step(done: Column, w: Column) -> Column:
-        # From where the last word ended: position() counts from 1.
-        start = F.call_function("position", w, x, done["at"] + 1) - 1
-        end = (start + F.char_length(w)).cast("int")
-        return F.struct(end.alias("at"), F.array_append(done["words"], F.struct(w.alias("word"), start.cast("int").alias("start"), end.alias("end"))).alias("words"))
 
-    return F.aggregate(words, none, step)["words"]
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def placed_words(x: pd.Series) -> pd.Series:
+    """Arrow UDF: the words of a text: array of structs word, start, end. One pass, where an array that grows by a word a step takes the square of their number."""
+    return pd.Series([[{"word": m[0], "start": m.start(), "end": m.end()} for m in _WORD.finditer(s or "")] for s in x])
 
 
 def resolved(refs: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +47,7 @@ def resolved(refs: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
 
     refs: keys, item, side ('A', 'B'), ids (array of strings), quote. lines: keys, side, i, text.
     """
+    ship(refs.sparkSession)
     number = lambda k: F.regexp_extract("id", r"^([AB])([0-9]{1,9}):([0-9]{1,9})$", k)
     each = refs.select(*keys, "item", "side", F.posexplode("ids").alias("n", "raw")).withColumn("id", F.trim(F.coalesce("raw", F.lit(""))))
     good = (number(1) != "") & (number(1) == F.col("side"))

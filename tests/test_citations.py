@@ -1,11 +1,13 @@
 """Cited words, quotes that are off, and texts in a second reading."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from platen.operators import citations
+from platen.session import ship
 
 LINES = [("A", 0, "Net  weight 340 g net"), ("A", 1, "Salt 3% salt 3% end"), ("B", 0, "Net weight 350 g net"), ("B", 1, "(min)...... 7%")]
 REF = "job int, item int, side string, ids array<string>, quote string"
@@ -81,3 +83,14 @@ def test_reread(spark):
     targets = spark.createDataFrame([(1, 0, "a cool"), (1, 1, "warm place"), (1, 2, ""), (2, 0, "x"), (3, 0, "x"), (1, 3, None)], "job int, item int, text string")
     got = {(r.job, r["item"]): r.present for r in citations.reread(targets, lines, ["job"]).select("job", "item", F.round("present", 6).alias("present")).collect()}
     assert got == {(1, 0): 1.0, (1, 1): 0.666667, (1, 2): 0.0, (2, 0): 0.0, (3, 0): 0.0, (1, 3): 0.0}
+
+
+def test_words_of_a_long_line_take_one_pass(spark):
+    ship(spark)
+    long_ = spark.createDataFrame([(1, "word  x\u001f " * 20_000), (2, None), (3, " ")], "i long, x string")
+    start = time.monotonic()
+    got = {r.i: r.w for r in long_.select("i", citations.placed_words(F.col("x")).alias("w")).collect()}
+    assert got[2] == got[3] == [] and len(got[1]) == 40_000
+    assert tuple(got[1][0]) == ("word", 0, 4) and tuple(got[1][1]) == ("x\u001f", 6, 8)
+    # An array grown by a word a step took 8 s for a quarter of these words.
+    assert time.monotonic() - start < 20
