@@ -389,9 +389,12 @@ def line_pair_differences(t: Tables) -> DataFrame:
     """Differences between each line of a document and the next, told from lines broken elsewhere."""
     ship(t.spark)
     parts = F.split("text", "\n")
-    d = t.documents.select("doc_id", parts.alias("parts"), F.posexplode(parts).alias("pos", "a"))
-    at = lambda k: F.coalesce(F.get("parts", F.col("pos") + k), F.lit(""))
-    x = d.select("doc_id", "pos", text.pair_differences(F.col("a"), at(1), F.concat(at(-1), at(1)), F.concat(F.col("a"), at(2))).alias("steps"), text.diff_spans(F.col("a"), at(1), F.concat_ws(" ", at(-1), F.col("a")), F.concat_ws(" ", at(1), at(2))).alias("spans"))
+    # A line goes with the three around it, not with its whole document.
+    at = lambda p, k: F.coalesce(F.get(p, k), F.lit(""))
+    around = lambda p: F.transform(p, lambda a, k: F.struct(k.alias("pos"), a.alias("a"), at(p, k - 1).alias("before"), at(p, k + 1).alias("b"), at(p, k + 2).alias("after")))
+    d = t.documents.select("doc_id", parts.alias("parts")).select("doc_id", F.inline(around(F.col("parts"))))
+    a, b, before, after = (F.col(c) for c in ("a", "b", "before", "after"))
+    x = d.select("doc_id", "pos", text.pair_differences(a, b, F.concat(before, b), F.concat(a, after)).alias("steps"), text.diff_spans(a, b, F.concat_ws(" ", before, a), F.concat_ws(" ", b, after)).alias("spans"))
     return x.select("doc_id", "pos", F.size("steps").alias("steps"), F.size(F.filter("steps", lambda s: s["kind"] == "REFLOW")).alias("reflow"), F.size("spans.a").alias("spans"))
 
 

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 
 from platen.operators import alignment
-from platen.plans import groups, lines
+from platen.plans import groups, lines, reports
 
 
 def test_keys_and_diffs_of_whole_texts(spark):
@@ -77,3 +77,14 @@ def test_fit_holds_no_map_of_values(spark):
     fit = alignment.robust_fit(points, ["k"])
     assert [(r.k, round(r.slope, 9), r.n) for r in fit.collect()] == [(1, 2.0, 3)]
     assert not any(x in fit._jdf.queryExecution().optimizedPlan().toString() for x in ("median", "percentile"))
+
+
+def test_a_line_goes_without_its_document(spark):
+    docs = spark.createDataFrame([(1, "one line\nanother line\n\nlast"), (2, "alone"), (3, None)], "doc_id long, text string")
+    t = SimpleNamespace(spark=spark, documents=docs)
+    for query, rows in ((reports.line_pair_differences, 5), (lines.line_char_diff, 4)):
+        out = query(t)
+        assert out.count() == rows
+        above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        # Each line's row held all lines of its document.
+        assert "parts#" not in above
