@@ -420,6 +420,24 @@ def test_lines_of_one_bucket_are_all_joined(spark, monkeypatch, large):
     assert len(want) == 30 and {frozenset(g) for g in groups.values()} == want
 
 
+def test_lines_hold_one_row_of_marks_each_and_strangers_of_a_bucket_make_no_pairs(spark):
+    """Before, a row for each band of a line was kept and shuffled, and lines that shared shingles were joined before their signatures were asked."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    texts = [" ".join(["Archived copy of the article:"] + [word() for _ in range(12)]) for _ in range(120)]
+    texts += [texts[0][:-1] + "Z"]
+    own = spark.createDataFrame([(x,) for x in texts], "line string").select(F.xxhash64("line").alias("id"), "line")
+    tables = lines.signatures(own)
+    assert spark.read.parquet(tables[0]._platen_path).count() == len(texts)
+    placed = own.select(F.lit(1).cast("long").alias("band"), "id", F.col("id").alias("component"), F.lit(len(texts)).cast("long").alias("size"))
+    ids = {r.line: r.id for r in own.collect()}
+    for large in (4096, 8):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lines, "LARGE", large)
+            pairs = {frozenset(r) for r in lines._pairs_between(placed, lines.marks_of(common.union(tables), own)).collect()}
+        assert pairs == {frozenset((ids[texts[0]], ids[texts[-1]]))}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)]
