@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from platen.catalogue import Tables, query
 from platen.functions import text
 from platen.operators import nearest
-from platen.session import ship
+from platen.session import ship, whole_texts
 
 _WORDS = "select source, doc_id, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')) as w from documents where lang = 'en'"
 
@@ -161,7 +161,7 @@ def page_host_and_email(t: Tables) -> DataFrame:
 
 @query()
 def text_keys_unicode(t: Tables) -> DataFrame:
-    ship(t.spark)
+    whole_texts(t.spark)
     x = F.col("text")
     return t.documents.select("doc_id", text.key(x).alias("key"), text.pair_key(x).alias("pair_key"), text.diff_key(x).alias("diff_key"), text.ocr_key(x).alias("ocr_key"))
 

@@ -18,6 +18,16 @@ def test_keys_and_diffs_of_whole_texts(spark):
     assert sorted((r.doc_id, r.pos) for r in lines.line_char_diff(t).collect() if r.doc_id > 2) == [(3, 0), (3, 1), (4, 0)]
 
 
+def test_keys_of_whole_texts_take_small_batches(spark):
+    """A Python worker holds a batch of whole texts and what comes of them; it had 10,000."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    lines.text_keys_unicode(SimpleNamespace(spark=spark, documents=docs))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_every_word_of_a_turn_votes(spark):
     head = "same " * 30
     rows = [(1, "user", head + "elephants"), (1, "assistant", head + "elephants"), (1, "system", head + "elephantz")]
