@@ -137,15 +137,17 @@ class BlockMax:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights of a text's known terms; the norm is that of all its terms."""
-        known = counts.keys() & self.place.keys()
-        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
-        tf = np.fromiter(map(counts.__getitem__, known), np.int64, len(known))
+        # One lookup a term: the table is far larger than a cache, so lookups take the time.
+        place = self.place.get
+        at = np.array([place(t, -1) for t in counts], np.int64)
+        tf = np.fromiter(counts.values(), np.int64, len(counts))
+        here = at >= 0
+        rest = np.unique(tf[~here], return_counts=True)
+        at, tf = at[here], tf[here]
         order = np.argsort(at)
         at, w = at[order], (1 + np.log(tf[order])) * self.weight[at[order]]
         # Unknown terms: all those of a count at once.
-        rest = Counter(counts.values())
-        rest.subtract(tf.tolist())
-        square = sum(n * ((1 + np.log(c)) * self.unknown) ** 2 for c, n in sorted(rest.items()) if n)
+        square = sum(n * ((1 + np.log(c)) * self.unknown) ** 2 for c, n in zip(*(x.tolist() for x in rest), strict=True))
         norm = np.sqrt((w * w).sum() + square)
         return at, w / norm if norm else w
 
