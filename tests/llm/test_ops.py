@@ -1,4 +1,5 @@
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -438,6 +439,28 @@ def test_lines_hold_one_row_of_marks_each_and_strangers_of_a_bucket_make_no_pair
         assert pairs == {frozenset((ids[texts[0]], ids[texts[-1]]))}
 
 
+def test_lines_of_a_cloud_make_few_pairs_and_sketches_lose_no_link(spark):
+    """Variants of one line at a similarity of about a half: before, nearly all their pairs were verified."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    base = [word() for _ in range(80)]
+    texts = [" ".join(word() if rng.random() < 0.09 else w for w in base) for _ in range(90)]
+    texts += [t[:-9] + "Z" for t in texts[:30]] + ["abab" * 60, "abab" * 90, "é😀 " * 20 + texts[0], "short", "shor"]
+    own = spark.createDataFrame([(x,) for x in texts], "line string").select(F.xxhash64("line").alias("id"), "line")
+    placed = own.select(F.lit(1).cast("long").alias("band"), "id", F.col("id").alias("component"), F.lit(len(texts)).cast("long").alias("size"))
+    ids = {r.line: r.id for r in own.collect()}
+    links = {frozenset((ids[x], ids[y])) for x, y in itertools.combinations(texts, 2) if _jaccard_of(x, y) >= 0.75}
+    half = {frozenset((ids[x], ids[y])) for x, y in itertools.combinations(texts, 2) if 0.4 <= _jaccard_of(x, y) < 0.75}
+    marks = lines.marks_of(common.union(lines.signatures(own)), own)
+    before = {frozenset(r) for r in lines._pairs_between(placed, marks).collect()}
+    drawn = lines.sketches(placed, own)
+    shingles = {ids[x]: len({x[i : i + 5] for i in range(max(1, len(x) - 4))}) for x in texts if x.isascii()}
+    assert {r.id: r.n for r in drawn.collect() if r.id in shingles} == shingles
+    pairs = {frozenset(r) for r in lines._pairs_between(placed, drawn, lines._within).collect()}
+    assert len(links) >= 30 and links <= pairs and len(half) > 2_000
+    assert len(before & half) > 0.8 * len(half) and len(pairs - links) < 0.1 * len(half)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)]
