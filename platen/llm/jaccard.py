@@ -51,6 +51,8 @@ VERIFY_COST = 40.0
 STAR_TURNS, LEADERS, FEW = 8, 4, 16
 #: Shingles of fewer than 2^RARE texts don't count towards the middle of a group.
 RARE = 5
+#: Shingles before one that tell whether a pair has met already. Any number gives the same pairs; fewer give them more often.
+BEFORE = 4
 #: Row ids: block number, then the row's place in its block.
 ROW_BITS = 21
 
@@ -220,15 +222,24 @@ def choose_prefix(n: int, tokens: np.ndarray) -> tuple[int, int]:
     return best[1:]
 
 
-PREFIX = "token long, rid long, n long, matches int, place int, first int"
+PREFIX = "token long, rid long, n long, matches int, place int, first int, before array<long>"
+
+
+def _before(tokens: np.ndarray) -> pa.ListArray:
+    """For each token the BEFORE ones before it."""
+    size = np.minimum(np.arange(len(tokens)), BEFORE)
+    ends = np.cumsum(size)
+    at = np.arange(size.sum()) + np.repeat(np.arange(len(tokens)) - ends, size)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(tokens[at], pa.int64()))
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """A row for each shared token in a text's prefix, with the token's place in the text's order, and first: how many of the text's shingles fewer than 2^RARE texts have."""
+    """A row for each shared token in a text's prefix, with the token's place in the text's order, first: how many of the text's shingles fewer than 2^RARE texts have, and the tokens just before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
+            before = [_before(np.empty(0, np.int64))]
             for rid, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = np.frombuffer(data, np.uint64)
                 matches, size = choose_prefix(n, tokens)
@@ -238,7 +249,9 @@ def prefixes(sets: DataFrame) -> DataFrame:
                     rare = int(np.searchsorted(tokens >> np.uint64(58), np.uint64(RARE))) + n - len(tokens)
                     for part, x in zip(parts, (tokens[:size].view(np.int64), np.full(size, rid), np.full(size, n), np.full(size, matches), place, np.full(size, rare)), strict=True):
                         part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), t) for p, t in zip(parts, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=[x.split()[0] for x in PREFIX.split(", ")])
+                    before.append(_before(tokens[:size].view(np.int64)))
+            columns = [pa.array(np.concatenate(p), t) for p, t in zip(parts, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(before)], names=[x.split()[0] for x in PREFIX.split(", ")])
 
     return sets.where("tokens is not null and octet_length(tokens) > 0").select("rid", "n", "tokens").mapInArrow(run, PREFIX)
 
@@ -266,6 +279,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 _SIDE = ("rid", "n", "matches", "place", "component")
+_PROBE = (*_SIDE, "before")
 
 
 def _shared(n: str, other: str):
@@ -273,9 +287,9 @@ def _shared(n: str, other: str):
     return F.ceil(F.lit(PERCENT) * (F.col(n) + F.col(other)) / (100 + PERCENT))
 
 
-def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+def _sides(a: DataFrame, b: DataFrame, columns: tuple[str, ...] = _SIDE) -> DataFrame:
     """Rows of a and b (suffixes _u, _v) that share a token, of texts in different components whose sizes may link."""
-    both = a.select("token", *[F.col(c).alias(f"{c}_u") for c in _SIDE]).join(b.select("token", *[F.col(c).alias(f"{c}_v") for c in _SIDE]), "token")
+    both = a.select("token", *[F.col(c).alias(f"{c}_u") for c in columns]).join(b.select("token", *[F.col(c).alias(f"{c}_v") for c in columns]), "token")
     return both.where("component_u != component_v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
 
 
@@ -294,20 +308,20 @@ def _near(placed: DataFrame, leaders: DataFrame) -> DataFrame:
     return most.select("u", F.explode("x").alias("x")).select("u", "x.v", "x.need")
 
 
-def _left(probes: DataFrame) -> DataFrame:
-    """u, v, need: all pairs in different components that may link. Besides l of the first n - q + l shingles a linked pair shares one of the first n - q + 1; only those generate pairs."""
-    both = _sides(probes, probes.alias("other")).where("rid_u < rid_v")
+def _met(probes: DataFrame) -> DataFrame:
+    """u, v, need, hardly any twice: all pairs in different components that may link. Besides l of the first n - q + l shingles a linked pair shares one of the first n - q + 1; only those generate pairs. Where one of the tokens just before is common, its rows make the pair: its places are smaller, so no bound on places leaves it out, and texts in different components keep it."""
+    both = _sides(probes, probes.alias("other"), _PROBE).where("rid_u < rid_v").where(~F.arrays_overlap("before_u", "before_v"))
     both = both.where((F.col("place_u") <= F.col("n_u") - _shared("n_u", "n_v")) & (F.col("place_v") <= F.col("n_v") - _shared("n_u", "n_v")))
-    return both.select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"), F.least("matches_u", "matches_v").alias("need")).distinct()
+    return both.select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"), F.least("matches_u", "matches_v").alias("need"))
 
 
 def _placed(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Prefix rows of tokens that lie in several components, with their text's component, its first place, and whether they may be the first that a pair shares (probe), as a kept table. Places are compared with what the smallest holder of a token asks for; no other partner asks for a longer prefix."""
-    rows = prefix.select("token", "rid", "n", "matches", "place", "first")
+    rows = prefix.select("token", "rid", "n", "matches", "place", "first", "before")
     if labels is None:
         rows = rows.withColumn("component", F.col("rid"))
     else:
-        rows = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "matches", "place", "first", F.coalesce("component", "rid").alias("component"))
+        rows = rows.join(labels, rows.rid == labels.node, "left").select("token", "rid", "n", "matches", "place", "first", "before", F.coalesce("component", "rid").alias("component"))
         rows = common.kept(rows, "jaccard-labelled")
     lists = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
     mixed = common.kept(lists.where("low < high").select("token", "least"), "jaccard-mixed")
@@ -352,7 +366,7 @@ def links(sets: DataFrame) -> DataFrame:
         common.drop_kept(before)
         if 50 * found < most:
             break
-    far = common.kept(verified(_left(placed.where("probe")), sets), "jaccard-links")
+    far = common.kept(verified(_met(placed.where("probe")).distinct(), sets), "jaccard-links")
     common.drop_kept(placed)
     return far if edges is None else edges.union(far)
 

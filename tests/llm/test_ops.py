@@ -461,6 +461,23 @@ def test_lines_of_a_cloud_make_few_pairs_and_sketches_lose_no_link(spark):
     assert len(before & half) > 0.8 * len(half) and len(pairs - links) < 0.1 * len(half)
 
 
+def test_jaccard_pairs_come_from_their_first_common_shingle(spark):
+    """Variants of one text: before, a pair was a row for each common shingle of its prefixes."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    base = [word() for _ in range(200)]
+    docs = spark.createDataFrame([(k, " ".join(word() if rng.random() < 0.02 else w for w in base[: 200 - k % 7])) for k in range(40)], "doc_id long, text string")
+    common.tune(spark)
+    answers = common.kept(jaccard.sent(docs.coalesce(2), 3).groupBy("part").applyInArrow(jaccard._answer, jaccard.SENT), "test-answers")
+    sets = common.kept(answers.groupBy("block").applyInArrow(jaccard._assemble, jaccard.SETS_OF), "test-sets")
+    probes = jaccard._placed(jaccard.prefixes(sets), None).where("probe")
+    rows = jaccard._met(probes).collect()
+    each = jaccard._sides(probes, probes.alias("other")).where("rid_u < rid_v")
+    each = each.where((F.col("place_u") <= F.col("n_u") - jaccard._shared("n_u", "n_v")) & (F.col("place_v") <= F.col("n_v") - jaccard._shared("n_u", "n_v"))).collect()
+    assert {(r.u, r.v) for r in rows} == {(r.rid_u, r.rid_v) for r in each}
+    assert len({(r.u, r.v) for r in rows}) > 300 and len(rows) < 1.2 * len({(r.u, r.v) for r in rows}) and len(each) > 4 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)]
