@@ -136,9 +136,10 @@ def spec_normalisers(t: Tables) -> DataFrame:
 
 @query("with w as (select doc_id, pos, len from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as pos, text from documents) x, lateral (select length(string_split(text, chr(10))[pos + 1]) as len) y) select doc_id, count(*) as lines, round(1 - sum(case when len < 40 then len else 0 end) / sum(len), 9) as coverage from w group by 1")
 def doc_line_coverage(t: Tables) -> DataFrame:
-    """1 - characters of short (unmatched) lines over all characters of lines."""
+    """1 - characters of short (unmatched) lines over all characters of lines; NaN where lines have none."""
     n = F.char_length("line")
-    return _lines(t).groupBy("doc_id").agg(F.count("*").alias("lines"), F.round(1 - F.sum(F.when(n < 40, n).otherwise(0)) / F.sum(n), 9).alias("coverage"))
+    sums = _lines(t).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.when(n < 40, n).otherwise(0)).alias("short"), F.sum(n).alias("every"))
+    return sums.select("doc_id", "lines", F.when(F.col("every") == 0, F.lit(float("nan"))).otherwise(F.round(1 - F.col("short") / F.col("every"), 9)).alias("coverage"))
 
 
 @query("with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where doc_id < 200 and lang = 'en') select a.doc_id, count(distinct a.line) as only_here from l a where not exists (select 1 from l b where b.line = a.line and b.doc_id <> a.doc_id) group by 1".replace("doc_id < 200 and ", ""))

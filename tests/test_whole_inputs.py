@@ -1,5 +1,6 @@
 """Queries read whole texts, all documents and all rounds."""
 
+import math
 import random
 from types import SimpleNamespace
 
@@ -98,3 +99,12 @@ def test_a_line_goes_without_its_document(spark):
         above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
         # Each line's row held all lines of its document.
         assert "parts#" not in above
+
+
+def test_coverage_of_texts_without_characters(spark):
+    """Their share is 0 of 0: NaN as in the SQL, and no error."""
+    rows = [(1, "a\n" + "b" * 40), (2, ""), (3, None), (4, "\n\n")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.lines, r.coverage) for r in lines.doc_line_coverage(SimpleNamespace(spark=spark, documents=docs)).collect()}
+    assert got.keys() == {1, 2, 4} and got[1] == (2, round(1 - 1 / 41, 9))
+    assert all(got[k][0] == n and math.isnan(got[k][1]) for k, n in ((2, 1), (4, 3)))
