@@ -76,9 +76,14 @@ def span_rejected(mode: str, suspect: Column, text: Column, poisoned: Column) ->
 
 # Detector and capture gates.
 def detector_gate(pairs: DataFrame, counts: DataFrame, keys: list[str], least_iou: float, most_conf: float, most_drift: float) -> DataFrame:
-    """keys, mean_iou, max_conf, drift, mismatches, disaster, ok. pairs: keys, iou, conf, same; counts: keys, base, test (boxes of an image). The mean is that of decimals, so it doesn't depend on the order of rows; the gate compares doubles."""
+    """keys, mean_iou, max_conf, drift, mismatches, disaster, ok. pairs: keys, iou, conf, same; counts: keys, base, test (boxes of an image). Where pairs have a place (at), the mean sums doubles in its order, as a table's reader does; else it is that of decimals, so it doesn't depend on the order of rows, and the gate compares doubles."""
     total = counts.groupBy(*keys).agg(F.sum("base").alias("base"), F.sum("test").alias("test"))
-    met = pairs.groupBy(*keys).agg(F.avg("iou").alias("iou"), F.avg(F.col("iou").cast("decimal(18,15)")).cast("double").alias("exact"), F.max("conf").alias("conf"), F.count_if(~F.col("same")).alias("mismatches"))
+    mean, exact = F.avg("iou"), F.avg(F.col("iou").cast("decimal(18,15)")).cast("double")
+    if "at" in pairs.columns:
+        # A running sum over sorted rows, which spill.
+        pairs = pairs.withColumn("sum", F.sum("iou").over(Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        mean = exact = F.max_by("sum", "at") / F.nullif(F.count("iou"), F.lit(0))
+    met = pairs.groupBy(*keys).agg(mean.alias("iou"), exact.alias("exact"), F.max("conf").alias("conf"), F.count_if(~F.col("same")).alias("mismatches"))
     j = total.join(met, keys, "left")
     alone = F.when((F.col("base") == 0) & (F.col("test") == 0), 1.0).otherwise(0.0)
     iou, mean = F.coalesce("iou", alone), F.coalesce("exact", alone)

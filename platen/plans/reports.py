@@ -9,6 +9,7 @@ from platen.catalogue import Tables, query
 from platen.functions import text
 from platen.operators import alignment, findings, reports
 from platen.session import ship
+from platen.tables import placed
 
 
 @query("with x as (select p_partkey, p_name as a, case when p_partkey % 3 = 0 then p_brand else trim(substr(p_name, 1 + p_partkey % 5, p_size % 8)) end as b from part) select p_partkey, case when b = '' then 'unknown' when a = b then 'same' when length(b) >= 2 and contains(a, b) then 'truncated' else 'different' end as relation from x")
@@ -95,9 +96,11 @@ def font_span_trust(t: Tables) -> DataFrame:
 @query("with c as (select o_custkey, sum((o_orderkey % 5)) as base, sum(o_orderkey % 4) as test from orders group by 1), p as (select o_custkey, avg(1 - l_discount) as iou, max(l_tax) as conf, count(*) filter (where l_returnflag = 'R') as mismatches from lineitem join orders on o_orderkey = l_orderkey where l_quantity > 25 group by 1), j as (select c.o_custkey, base, test, coalesce(iou, case when base = 0 and test = 0 then 1.0 else 0.0 end) as iou, coalesce(conf, 0.0) as conf, coalesce(mismatches, 0) as mismatches from c left join p on p.o_custkey = c.o_custkey) select o_custkey, round(iou, 6) as mean_iou, conf as max_conf, round(abs(base - test) / greatest(base, 1), 6) as drift, mismatches, base >= 3 and test = 0 as disaster, iou >= 0.93 and conf <= 0.07 and abs(base - test) / greatest(base, 1) <= 0.6 and mismatches <= 0 and not (base >= 3 and test = 0) as ok from j")
 def detector_gate(t: Tables) -> DataFrame:
     counts = t.orders.select("o_custkey", (F.col("o_orderkey") % 5).alias("base"), (F.col("o_orderkey") % 4).alias("test"))
-    pairs = t.lineitem.where("l_quantity > 25").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", (1 - F.col("l_discount")).alias("iou"), F.col("l_tax").alias("conf"), (F.col("l_returnflag") != "R").alias("same"))
+    lines = placed(t.lineitem)
+    pairs = lines.where("l_quantity > 25").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", *[c for c in lines.columns if c == "at"], (1 - F.col("l_discount")).alias("iou"), F.col("l_tax").alias("conf"), (F.col("l_returnflag") != "R").alias("same"))
     out = reports.detector_gate(pairs, counts, ["o_custkey"], 0.93, 0.07, 0.6)
-    return out.withColumn("mean_iou", F.round("mean_iou", 6)).withColumn("drift", F.round("drift", 6))
+    # The SQL rounds the double itself; round() goes by its shortest decimals.
+    return out.withColumn("mean_iou", F.floor(F.col("mean_iou") * 1e6 + 0.5) / 1e6).withColumn("drift", F.round("drift", 6))
 
 
 @query("with m as (select o_orderkey, o_orderkey % 90 as saved, case when o_orderstatus = 'P' then o_custkey % 7 else 0 end as dropped, o_custkey % 12 as elapsed, case when o_orderpriority = '1-URGENT' then 20 - o_custkey % 30 end as lost, o_orderpriority = '5-LOW' as capped, 5.0 as mp, case when o_orderkey % 2 = 0 then 8164 else 1500 end as packet from orders), x as (select *, (saved + dropped) * 2 as delivered, greatest(lost, 0) as lf from m where elapsed > 0 and saved + dropped > 0), y as (select *, delivered / elapsed as fps, case when lf > 0 then (delivered + lf) / elapsed else delivered / elapsed end as produced, 125.0 * case when packet >= 4000 then 0.9 else 0.7 end / mp as ceiling from x), z as (select *, coalesce(lf > 0, false) as transport, coalesce(fps < round(ceiling, 1) * 0.5, false) and not coalesce(lf > 0 and lf / (round(produced, 1) * round(elapsed, 1)) > 0.10, false) as slow from y) select o_orderkey, round(fps, 1) as delivered_fps, round(produced, 1) as produced_fps, round(ceiling, 1) as ceiling_fps, coalesce(nullif(concat_ws(',', case when transport then 'transport' end, case when capped then 'framerate_cap' when slow then 'camera_rate' end, case when dropped > 0 then 'disk' end), ''), 'ok') as causes from z")

@@ -106,6 +106,22 @@ def test_summary_of_blocks_keeps_every_text(spark):
     assert got.missing == 14 and got.missing_texts == ",".join(f"2020-01-{d:02d}" for d in range(1, 15))
 
 
+def test_gate_mean_of_placed_rows_sums_in_their_order(spark):
+    values = [0.9] * 3 + [0.91] * 5 + [0.97] * 13 + [1 - 0.07] * 2 + [1 - 0.01] * 9
+    rows = [(0, v, 0.0, True, i) for i, v in enumerate(values)] + [(1, v, 0.0, True, i) for i, v in enumerate(values[::-1])]
+    pairs = spark.createDataFrame(rows[::-1], "k int, iou double, conf double, same boolean, at long").repartition(3)
+    counts = spark.createDataFrame([(k, 1, 1) for k in range(2)], "k int, base int, test int")
+    want = {0: sum_in_order(values) / len(values), 1: sum_in_order(values[::-1]) / len(values)}
+    assert want[0] != want[1] and {r.k: r.mean_iou for r in reports.detector_gate(pairs, counts, ["k"], 0.93, 0.07, 0.6).collect()} == want
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
 def test_zoom_lines_meet_a_group_once(spark):
     """Equal panel lines are one, and a group's text meets all its zoom lines in one row."""
     zooms = spark.createDataFrame([(1, "red ring"), (1, "gone bolt"), (1, "gone belt"), (2, "red ring")], "g int, line string")
