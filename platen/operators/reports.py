@@ -380,9 +380,11 @@ def region_defects(regions: DataFrame, keys: list[str], cap: int) -> DataFrame:
 
 
 def match_summary(blocks: DataFrame, keys: list[str], suspect: float = 0.85, most: int | None = 10) -> DataFrame:
-    """keys, matched, missing, extra, suspects, and the first texts of the last two kinds (most None: all). Columns: keys, i, kind (matched, missing, extra), text, sim."""
+    """keys, matched, missing, extra, suspects, and the first texts of the last two kinds (most None: all), by i and among equals by their place (at) if they have one. Columns: keys, i, kind (matched, missing, extra), text, sim."""
+    by = [c for c in ("i", "at") if c in blocks.columns]
+
     def first(kind: str) -> Column:
-        texts = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("text") != ""), F.struct("i", "text"))))
+        texts = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("text") != ""), F.struct(*by, "text"))))
         return F.transform(texts if most is None else F.slice(texts, 1, most), lambda x: x["text"])
 
     count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)

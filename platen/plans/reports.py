@@ -294,7 +294,8 @@ def region_defects(t: Tables) -> DataFrame:
 @query("with b as (select l_orderkey, l_extendedprice as i, case l_returnflag when 'A' then 'matched' when 'N' then 'missing' else 'extra' end as kind, case when l_tax > 0 then l_shipdate::date::varchar else '' end as text, 1 - l_discount * 3 as sim from lineitem) select l_orderkey, count(*) filter (where kind = 'matched') as matched, count(*) filter (where kind = 'missing') as missing, count(*) filter (where kind = 'extra') as extra, count(*) filter (where kind = 'matched' and sim < 0.85) as suspects, coalesce(string_agg(text, ',' order by i) filter (where kind = 'missing' and text <> ''), '') as missing_texts from b group by 1")
 def block_match_summary(t: Tables) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "matched").when(F.col("l_returnflag") == "N", "missing").otherwise("extra")
-    blocks = t.lineitem.select("l_orderkey", F.col("l_extendedprice").alias("i"), kind.alias("kind"), F.when(F.col("l_tax") > 0, F.to_date("l_shipdate").cast("string")).otherwise("").alias("text"), (1 - F.col("l_discount") * 3).alias("sim"))
+    lines = placed(t.lineitem)
+    blocks = lines.select("l_orderkey", *[c for c in lines.columns if c == "at"], F.col("l_extendedprice").alias("i"), kind.alias("kind"), F.when(F.col("l_tax") > 0, F.to_date("l_shipdate").cast("string")).otherwise("").alias("text"), (1 - F.col("l_discount") * 3).alias("sim"))
     out = reports.match_summary(blocks, ["l_orderkey"], most=None)
     return out.drop("extra_texts").withColumn("missing_texts", F.array_join("missing_texts", ","))
 

@@ -122,6 +122,13 @@ def sum_in_order(values):
     return total
 
 
+def test_equal_blocks_keep_their_place(spark):
+    rows = [(1, 2.0, "missing", t, 1.0, i) for i, t in enumerate("zbya")] + [(1, 1.0, "missing", "first", 1.0, 9)]
+    blocks = spark.createDataFrame(rows[::-1], "k int, i double, kind string, text string, sim double, at long")
+    (got,) = reports.match_summary(blocks, ["k"], most=None).collect()
+    assert got.missing_texts == ["first", "z", "b", "y", "a"]
+
+
 def test_zoom_lines_meet_a_group_once(spark):
     """Equal panel lines are one, and a group's text meets all its zoom lines in one row."""
     zooms = spark.createDataFrame([(1, "red ring"), (1, "gone bolt"), (1, "gone belt"), (2, "red ring")], "g int, line string")
