@@ -169,13 +169,14 @@ def text_keys_unicode(t: Tables) -> DataFrame:
 
 @query()
 def line_char_diff(t: Tables) -> DataFrame:
-    """Steps between each line of a document and the next one; an only line is set against an empty one."""
-    ship(t.spark)
+    """Steps between the characters of each line of a document and the next one; an only line is set against an empty one."""
+    # Small batches: a line has a step each few characters.
+    whole_texts(t.spark)
     parts = F.split("text", "\n")
     # A line goes with the next one, not with its whole document.
     pairs = lambda p: F.transform(F.slice(p, 1, F.greatest(F.lit(1), F.size(p) - 1)), lambda a, k: F.struct(k.alias("pos"), a.alias("a"), F.coalesce(F.get(p, k + 1), F.lit("")).alias("b")))
     d = t.documents.select("doc_id", parts.alias("parts")).select("doc_id", F.inline(pairs(F.col("parts"))))
-    return d.select("doc_id", "pos", text.word_diff("a", "b").alias("steps"), text.match_ratio("a", "b").alias("ratio"), text.run_ratio("a", "b").alias("run"))
+    return d.select("doc_id", "pos", text.char_comparison("a", "b").alias("x")).select("doc_id", "pos", "x.*")
 
 
 @query()

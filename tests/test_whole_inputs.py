@@ -108,3 +108,10 @@ def test_coverage_of_texts_without_characters(spark):
     got = {r.doc_id: (r.lines, r.coverage) for r in lines.doc_line_coverage(SimpleNamespace(spark=spark, documents=docs)).collect()}
     assert got.keys() == {1, 2, 4} and got[1] == (2, round(1 - 1 / 41, 9))
     assert all(got[k][0] == n and math.isnan(got[k][1]) for k, n in ((2, 1), (4, 3)))
+
+
+def test_line_char_diff_steps_are_characters(spark):
+    docs = spark.createDataFrame([(1, "a red cat\na rod cat"), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.line_char_diff(SimpleNamespace(spark=spark, documents=docs)).collect()}
+    assert [tuple(s) for s in got[1].steps] == [("equal", "a r", "a r", 0, 0), ("replace", "e", "o", 3, 3), ("equal", "d cat", "d cat", 4, 4)]
+    assert got[1].ratio == 16 / 18 and got[1].run == 1 / 3 and (got[2].steps, got[2].ratio, got[2].run) == ([], 1.0, 0.0)
