@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from platen.catalogue import Tables, query
 from platen.functions import text
 from platen.operators import nearest
-from platen.session import ship, whole_texts
+from platen.session import dealt, ship, whole_texts
 
 _WORDS = "select source, doc_id, unnest(string_split(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')) as w from documents where lang = 'en'"
 
@@ -175,7 +175,7 @@ def line_char_diff(t: Tables) -> DataFrame:
     parts = F.split("text", "\n")
     # A line goes with the next one, not with its whole document.
     pairs = lambda p: F.transform(F.slice(p, 1, F.greatest(F.lit(1), F.size(p) - 1)), lambda a, k: F.struct(k.alias("pos"), a.alias("a"), F.coalesce(F.get(p, k + 1), F.lit("")).alias("b")))
-    d = t.documents.select("doc_id", parts.alias("parts")).select("doc_id", F.inline(pairs(F.col("parts"))))
+    d = dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", parts.alias("parts")).select("doc_id", F.inline(pairs(F.col("parts"))))
     return d.select("doc_id", "pos", text.char_comparison("a", "b").alias("x")).select("doc_id", "pos", "x.*")
 
 

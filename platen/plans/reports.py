@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from platen.catalogue import Tables, query
 from platen.functions import text
 from platen.operators import alignment, findings, reports
-from platen.session import ship
+from platen.session import dealt, ship
 from platen.tables import placed
 
 
@@ -396,7 +396,7 @@ def line_pair_differences(t: Tables) -> DataFrame:
     # A line goes with the three around it, not with its whole document.
     at = lambda p, k: F.coalesce(F.get(p, k), F.lit(""))
     around = lambda p: F.transform(p, lambda a, k: F.struct(k.alias("pos"), a.alias("a"), at(p, k - 1).alias("before"), at(p, k + 1).alias("b"), at(p, k + 2).alias("after")))
-    d = t.documents.select("doc_id", parts.alias("parts")).select("doc_id", F.inline(around(F.col("parts"))))
+    d = dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", parts.alias("parts")).select("doc_id", F.inline(around(F.col("parts"))))
     a, b, before, after = (F.col(c) for c in ("a", "b", "before", "after"))
     x = d.select("doc_id", "pos", text.pair_differences(a, b, F.concat(before, b), F.concat(a, after)).alias("steps"), text.diff_spans(a, b, F.concat_ws(" ", before, a), F.concat_ws(" ", b, after)).alias("spans"))
     return x.select("doc_id", "pos", F.size("steps").alias("steps"), F.size(F.filter("steps", lambda s: s["kind"] == "REFLOW")).alias("reflow"), F.size("spans.a").alias("spans"))
